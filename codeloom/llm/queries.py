@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.llm import code_docs, leakage, shared_spans, splitting
+from codeloom.llm import code_docs, leakage, mixing, provenance, shared_spans, splitting
 from codeloom.model import table
 
 
@@ -22,6 +22,14 @@ def p3_pieces(spark, d):
     return splitting.pieces(table(spark, d, "chunks"))
 
 
+def p4_found(spark, d):
+    return provenance.found(table(spark, d, "chunks"), table(spark, d, "index_requests"))
+
+
+def p4_labels(spark, d):
+    return provenance.labels(table(spark, d, "chunks"), table(spark, d, "index_requests"))
+
+
 def p6_found(spark, d):
     return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -34,6 +42,14 @@ def p6_cleaned(spark, d):
     return leakage.cleaned(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark, d):
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark, d):
     return shared_spans.found(table(spark, d, "documents"))
 
@@ -46,7 +62,7 @@ def p8_spans(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).spans()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p6_found, p6_spans, p6_cleaned, p8_found, p8_report, p8_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_labels, p6_found, p6_spans, p6_cleaned, p7_mix, p7_shares, p8_found, p8_report, p8_spans)}
 
 _CUR = "cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
