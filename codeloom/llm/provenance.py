@@ -99,10 +99,10 @@ _P = {
     "handwritten": (0.86, 0.05, 0.035, 0.02, 0.035),
     "generated": (0.25, 0.60, 0.05, 0.05, 0.05),
     "minified": (0.25, 0.05, 0.60, 0.05, 0.05),
-    "vendored": (0.03, 0.01, 0.02, 0.93, 0.01),
+    "vendored": (0.02, 0.01, 0.02, 0.94, 0.01),
     "blob": (0.25, 0.05, 0.05, 0.05, 0.60),
 }
-_DIR_PRIOR = (1.0, 0.0, 0.0, 0.0, 0.0)
+_DIR_PRIOR = (0.0, 0.0, 0.0, 0.0, 0.0)
 _DIR_NAMED = 9.0
 
 
