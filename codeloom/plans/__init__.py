@@ -1,5 +1,5 @@
 """The query catalogue: each module has QUERIES and ORACLE."""
 
-from codeloom.plans import training
+from codeloom.plans import retrieval, training
 
-CATALOGUES = [training]
+CATALOGUES = [retrieval, training]
