@@ -40,7 +40,7 @@ def limit_rate(events: DataFrame, client: str, at: str, event_id: str, limit: in
             out.append((i, ok))
         return out
 
-    e = events.where(F.col(client).isNotNull() & F.col(at).isNotNull()).select(F.col(client).cast("bigint").alias(client), F.col(at).cast("double").alias("_t"), F.col(event_id).cast("bigint").alias("_id"))
+    e = events.where(F.col(client).isNotNull() & F.col(at).isNotNull()).select(F.col(client).cast("bigint").alias(client), F.col(at).cast("timestamp").cast("double").alias("_t"), F.col(event_id).cast("bigint").alias("_id"))
 
     def stateful(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         log = list(state.get[0]) if state.exists else []
