@@ -129,7 +129,7 @@ def idle_customers(spark, d):
 
 QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, prompt_windows, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
 
-_LOG = "log AS (SELECT event_type AS mode, value AS ms, event_type = 'error' AS zero, ts AS "at", user_id, props->>'$.k' AS q FROM events)"
+_LOG = '''log AS (SELECT event_type AS mode, value AS ms, event_type = 'error' AS zero, ts AS "at", user_id, props->>'$.k' AS q FROM events)'''
 ORACLE = {
     "search_analytics": f"""WITH {_LOG}, m AS (SELECT max("at") AS newest FROM log) SELECT mode, count(*) AS n, count(*) FILTER (WHERE zero) AS n_zero, round(avg(ms), 6) AS avg_ms, count(*) FILTER (WHERE log."at" > newest - INTERVAL 24 HOURS) AS n_recent FROM log, m GROUP BY ROLLUP (mode)""",
     "top_queries": f"WITH {_LOG} SELECT q, count(*) AS n FROM log GROUP BY q ORDER BY n DESC, q NULLS LAST LIMIT 20",
