@@ -38,7 +38,7 @@ _LINE_COMMENT = {"python": "#"}
 
 # function heads on code whose comments and strings are blanked; the name is the last group that matched
 _PAREN = r"\s*\([^()]*(?:\([^()]*(?:\([^()]*\)[^()]*)*\)[^()]*)*\)"
-_TYPED = re.compile(rf"^[ \t]*+(?:template\s*<[^{{}};]*>\s*)?(?:[\w<>\[\],.:?~]+[ \t*&]+)*?([~\w]+|operator[^\w\s(]+)(?:<[^<>()]*>)?{_PAREN}([^;{{}}()=]*(?:\([^()]*\)[^;{{}}()=]*)*)(\{{|=>)", re.M)
+_TYPED = re.compile(rf"^[ \t]*+(?:template\s*<[^{{}};]*>\s*)?(?:[\w<>\[\],.:?~]+[ \t*&]+)*?(?:\w+(?:<[^<>()]*>)?(?:::|\.))*([~\w]+|operator[^\w\s(]+)(?:<[^<>()]*>)?{_PAREN}([^;{{}}()=]*(?:\([^()]*\)[^;{{}}()=]*)*)(\{{|=>)", re.M)
 _HEADS = {
     "go": re.compile(rf"^[ \t]*+func[ \t]+(?:\([^()]*\)[ \t]*)?(\w+)(?:\[[^\]]*\])?{_PAREN}[^{{}};\r\n]*\{{", re.M),
     "rust": re.compile(rf"^[ \t]*+(?:pub(?:\([^)]*\))?\s+)?(?:(?:async|unsafe|const|default|extern)\s+)*fn\s+(\w+)(?:<[^(){{}}]*>)?{_PAREN}[^{{}};]*\{{", re.M),
@@ -203,7 +203,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         got = [spans(c, language(g)) if c else ([], [], []) for c, g in zip(b["code"], b["lang"])]
         yield pd.DataFrame({
-            "id": b["id"], "indexed_at": b["indexed_at"], "kind": b["kind"], "doc": b["doc"], "code": b["code"],
+            "id": b["id"], "v": b["v"], "kind": b["kind"], "doc": b["doc"], "code": b["code"],
             "comments": [[{"e": e, "s": s} for e, s in x[0]] for x in got],
             "functions": [[{"s": s, "name": n, "ds": ds, "de": de} for s, n, ds, de in x[1]] for x in got],
             "statements": [x[2] for x in got],
@@ -211,17 +211,17 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def attached(chunks: DataFrame) -> DataFrame:
-    """id, indexed_at, kind, fn_name, doc, comment, docstring: each function with a body and the texts that may document it.
+    """id, v (version), kind, fn_name, doc, comment, docstring: each function with a body and the texts that may document it.
 
     The as-of join: of the comments that end before the function the last, unless a statement ends behind it.
     """
     rows = chunks.where(F.col("kind").isin("method", "type") & F.col("id").isNotNull() & F.col("code").isNotNull())
-    rows = rows.select("id", "indexed_at", "kind", "doc", "lang", "code").mapInPandas(_scan, "id bigint, indexed_at timestamp, kind string, doc string, code string, " + _SPANS)
+    rows = rows.select("id", _version().alias("v"), "kind", "doc", "lang", "code").mapInPandas(_scan, "id bigint, v bigint, kind string, doc string, code string, " + _SPANS)
     f = rows.withColumn("f", F.explode("functions"))
     f = f.withColumn("c", F.expr("array_max(filter(comments, c -> c.e <= f.s))")).withColumn("t", F.expr("array_max(filter(statements, t -> t <= f.s))"))
     near = F.when(F.col("c").isNotNull() & (F.col("t").isNull() | (F.col("t") <= F.col("c.s"))), F.expr("substring(code, c.s + 1, c.e - c.s)"))
     string = F.when(F.col("f.ds") >= 0, F.expr("substring(code, f.ds + 1, f.de - f.ds)"))
-    return f.select("id", "indexed_at", "kind", F.col("f.name").alias("fn_name"), "doc", near.alias("comment"), string.alias("docstring"))
+    return f.select("id", "v", "kind", F.col("f.name").alias("fn_name"), "doc", near.alias("comment"), string.alias("docstring"))
 
 
 # --- which documentation is real; fixed patterns of tools, licences and generators -------------------------------------------
@@ -279,15 +279,16 @@ def pairs(chunks: DataFrame) -> DataFrame:
     f = attached(chunks)
     given = (F.col("kind") == "method") & (F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s", "")) >= 2)
     texts = F.when(given, F.array("doc")).otherwise(F.array("comment", "docstring"))
-    f = f.select("id", "indexed_at", "fn_name", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
-    f = f.select("id", "indexed_at", "fn_name", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
+    f = f.select("id", "v", "fn_name", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
+    f = f.select("id", "v", "fn_name", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
     newest = chunks.where("id is not null").groupBy("id").agg(F.max(_version()).alias("v"))
-    kept = f.withColumn("v", _version()).join(newest, ["id", "v"])
+    kept = f.join(newest, ["id", "v"])
     return kept.groupBy("id", "fn_name").agg(F.min("code_doc").alias("code_doc"))
 
 
 def _version() -> Column:
-    return F.coalesce(F.col("indexed_at"), F.lit("0001-01-01").cast("timestamp"))
+    """indexed_at as a number, older than any other where it is null."""
+    return F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**63)))
 
 
 def found(chunks: DataFrame) -> DataFrame:

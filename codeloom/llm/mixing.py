@@ -109,7 +109,8 @@ class Classifier:
 
     def __init__(self, labels: list[str], counts: np.ndarray, rows: np.ndarray):
         self.labels = labels
-        p = (counts + 0.5) / (rows[:, None] + 1)
+        # smoothed towards the rate over all labels, so that labels of few rows are not at a disadvantage
+        p = np.clip((counts + 2 * counts.sum(axis=0) / rows.sum()) / (rows[:, None] + 2), 1e-6, 1 - 1e-6)
         self.on, self.off = np.log(p) - np.log1p(-p), np.log1p(-p).sum(axis=1)
         self.prior = np.log(rows / rows.sum())
 
@@ -150,7 +151,10 @@ def memberships(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     t["cap"] = t["cap"].fillna(1).clip(lower=0)
     labels = list(t["source"])
     texts = distinct_texts(sized(documents, tokenizer))
-    hard = texts.where(F.col("source").isin(labels)).select("doc_id", "tokens", F.array(*[(F.col("source") == x).cast("double") for x in labels]).alias("p"))
+    p = F.array(*[(F.col("source") == x).cast("double") for x in labels]).cast("array<double>")
+    hard = texts.where(F.col("source").isin(labels)).select("doc_id", "tokens", p.alias("p"))
+    if not labels:
+        return hard.limit(0), t
     model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, fit_rows))  # labels x FEATURES numbers
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,10 +77,10 @@ def file_scores(evidence: DataFrame) -> DataFrame:
     has = lambda c, yes, no=0.0: F.when(F.col(c) if isinstance(c, str) else c, F.lit(float(yes))).otherwise(F.lit(float(no)))
     blanks = 1 - F.col("inked") / F.greatest("chars", F.lit(1))
     packed = (F.col("chars") >= 150) & (blanks < 0.075)
-    alike = (F.col("methods") >= 4) & (F.col("shapes") / F.col("methods") < 0.5)
-    rows = (F.col("lines") >= 12) & (F.col("repeats") / F.col("lines") > 0.6) & (F.col("n_methods") > 0)
+    alike = (F.col("methods") >= 4) & (F.col("shapes") < 0.5 * F.col("methods"))
+    rows = (F.col("lines") >= 12) & (F.col("repeats") > 0.6 * F.col("lines")) & (F.col("n_methods") > 0)
     copies = F.coalesce(F.col("copied"), F.lit(0.0)) >= 0.5
-    table_like = (F.col("lines") >= 4) & (F.col("values") / F.col("lines") > 0.6) & (F.col("n_code") == 0)
+    table_like = (F.col("lines") >= 4) & (F.col("values") > 0.6 * F.col("lines")) & (F.col("n_code") == 0)
     code_like = F.col("path").rlike(r"\.(?:js|mjs|cjs|css|ts)$") | (F.col("n_methods") > 0)
     own = ~alike & ~rows & ~packed & ~copies & ~table_like
     return f.select(

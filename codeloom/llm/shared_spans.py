@@ -164,9 +164,9 @@ class SharedSpans:
         def scan(batches):
             for ids, t in _batches(batches, cls):
                 at, h = t.minima()
-                new = np.concatenate([[True], h[1:] != h[:-1]])[: len(h)]  # neighbours mostly share theirs
-                doc = ids[np.searchsorted(t.first, at[new], "right") - 1]
-                yield pd.DataFrame({"h": h[new].view(np.int64), "doc_id": doc}).drop_duplicates()
+                doc = ids[np.searchsorted(t.first, at, "right") - 1]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])[: len(h)]  # neighbours mostly share theirs
+                yield pd.DataFrame({"h": h[new].view(np.int64), "doc_id": doc[new]}).drop_duplicates()
 
         return self.docs.mapInPandas(scan, "h bigint, doc_id bigint")
 

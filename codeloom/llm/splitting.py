@@ -102,7 +102,8 @@ def _newest(chunks: DataFrame) -> DataFrame:
 
 
 def _version():
-    return F.coalesce(F.col("indexed_at"), F.lit("0001-01-01").cast("timestamp"))
+    """indexed_at as a number, older than any other where it is null; times of any year pass through Python unharmed."""
+    return F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**63)))
 
 
 def oversized_ranges(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE, spread: bool = False) -> DataFrame:
