@@ -33,7 +33,7 @@ def priority_boost(stars: Column) -> Column:
 def score_multiplier(combined: Column) -> Column:
     """Between 0.88 and 1.12 for a score clamped to 1..10, neutral at 5.5 and without score."""
     c = F.greatest(F.lit(1.0), F.least(F.lit(10.0), combined.cast("double")))
-    return F.coalesce(1 + 0.12 * (c - 5.5) / 4.5, F.lit(1.0))
+    return F.when(combined.isNull(), F.lit(1.0)).otherwise(1 + 0.12 * (c - 5.5) / 4.5)
 
 
 def sigmoid(x: Column) -> Column:

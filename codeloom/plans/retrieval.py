@@ -189,7 +189,7 @@ SELECT q_id, id, round(score, 6) AS score, dense_rank, sparse_rank, rank, total,
     "search_filters": f"""WITH {CUR}, {_bm25(_BODY + " WHERE kind = 'method' AND lang IS NULL", _PASSAGES)} SELECT q_id, id, rank, unit FROM hits JOIN cur USING (id) WHERE lower(unit) LIKE '%src%'""",
     "priority_boost": f"""{_HITS}, s AS (SELECT q_id, id, collection, round((1 + 0.08 * coalesce(stars, 0)) / (60 + rank), 9) AS score FROM found LEFT JOIN (SELECT collection, max(priority) AS stars FROM profiles GROUP BY 1) USING (collection))
 SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20""",
-    "compare_multiplier": "SELECT event_id, round(coalesce(1 + 0.12 * (greatest(1.0, least(10.0, value)) - 5.5) / 4.5, 1.0), 6) AS multiplier FROM events",
+    "compare_multiplier": "SELECT event_id, round(CASE WHEN value IS NULL THEN 1.0 ELSE 1 + 0.12 * (greatest(1.0, least(10.0, value)) - 5.5) / 4.5 END, 6) AS multiplier FROM events",
     "decl_dedup": f"""{_HITS}, k AS (SELECT *, lower(trim(regexp_extract(name, '[^.]*$'))) AS bare, kind = 'decl' AND trim(coalesce(doc, '')) <> '' AS documented FROM found),
 w AS (SELECT *, max(CASE WHEN kind = 'method' THEN 1 ELSE 0 END) OVER g AS m, last_value(CASE WHEN documented THEN doc END IGNORE NULLS) OVER (PARTITION BY q_id, collection, unit, bare ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dd
   FROM k WINDOW g AS (PARTITION BY q_id, collection, unit, bare))
