@@ -9,6 +9,7 @@ join needs no shuffle; only what it yields meets the choice of current rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -184,7 +185,7 @@ def spans(code: str, lang: str) -> tuple[list, list, list]:
     code = _LONE_CR.sub("\n", code)  # offsets stay
     masked, comments = _mask(code, lang)
     find = _python if lang == "python" else _pascal if lang == "pascal" else _braced
-    fns = find(masked, code, lang)
+    fns = sorted(find(masked, code, lang))
     statements, at = [], 0
     for s, e, *_ in [*fns, (len(masked), len(masked))]:
         for line in _LINE.finditer(masked, at, max(at, s)):
@@ -194,8 +195,9 @@ def spans(code: str, lang: str) -> tuple[list, list, list]:
         if e > s:
             statements.append(e)
         at = max(at, e)
-    inside = [(a, b) for a, b, *_ in fns]
-    free = [(e, s) for s, e in comments if not any(a <= s < b for a, b in inside)]
+    starts = [a for a, *_ in fns]
+    inside = lambda at: (i := bisect_right(starts, at)) > 0 and at < fns[i - 1][1]
+    free = [(e, s) for s, e in comments if not inside(s)]
     return free, [(s, n, ds, de) for s, _, n, ds, de in fns], statements
 
 
