@@ -134,7 +134,18 @@ def export_rows(spark, d):
     return L.export_rows(table(spark, d, "nation"))
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_imports, huge_chunks, safe_paths, language_census, export_rows)}
+def rechunk_units(spark, d):
+    """Files put together from their chunks, and cut into chunks again."""
+    from codeloom.operators.documents import read_unit
+    from codeloom.sources.chunker import chunk_files
+
+    c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
+    lang = c.groupBy("collection", "unit").agg(F.min(F.coalesce("lang", F.lit("pascal"))).alias("lang"))
+    files = read_unit(c, cap=1_000_000).join(lang, ["collection", "unit"]).select(F.concat_ws("/", "collection", "unit").alias("unit"), "lang", "content")
+    return chunk_files(files, "again").drop("code", "extends_list")
+
+
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
 
 _STATES = """c AS (SELECT id, arg_min(code_hash, indexed_at) AS oh, arg_max(code_hash, indexed_at) AS nh FROM chunks GROUP BY id),
 s AS (SELECT id, CASE WHEN id % 10 = 7 THEN 'new' WHEN id % 10 = 3 THEN 'deleted' WHEN oh = nh THEN 'unchanged' ELSE 'changed' END AS status FROM c)"""
