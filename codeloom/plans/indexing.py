@@ -13,10 +13,15 @@ from codeloom.streaming import changes as C
 
 
 def _states(spark, d):
-    """An id's oldest row is the old state, its newest the new one; ids that end in 7 are only new, those in 3 only old."""
-    c = table(spark, d, "chunks").groupBy("id").agg(F.min_by("code_hash", "indexed_at").alias("old_hash"), F.max_by("code_hash", "indexed_at").alias("new_hash"))
-    old = c.where("id % 10 <> 7").select("id", F.col("old_hash").alias("h"))
-    return old, c.where("id % 10 <> 3").select("id", F.col("new_hash").alias("h"))
+    """Old: each id's newest row of the first half of the indexing time. New: each id's newest row, but for what hasn't been indexed since the first tenth."""
+    c = table(spark, d, "chunks").select("id", "indexed_at", F.col("code_hash").alias("h"))
+    span = c.agg(F.min("indexed_at").alias("t0"), F.max("indexed_at").alias("t1"))  # one row
+    at = lambda share: F.timestamp_seconds(F.unix_seconds("t0") + F.floor((F.unix_seconds("t1") - F.unix_seconds("t0")) * share))
+    c = c.withColumn("indexed_at", F.col("indexed_at").cast("timestamp")).join(F.broadcast(span.select(F.col("t0").cast("timestamp").alias("t0"), F.col("t1").cast("timestamp").alias("t1"))))
+    newest = F.max_by("h", "indexed_at").alias("h")
+    old = c.where(F.col("indexed_at") <= at(0.5)).groupBy("id").agg(newest)
+    new = c.groupBy("id").agg(newest, F.max("indexed_at").alias("last"), F.max(at(0.1)).alias("keep")).where("last > keep").select("id", "h")
+    return old, new
 
 
 def index_diff(spark, d):
@@ -28,7 +33,7 @@ def diff_counts(spark, d):
 
 
 def embedding_needs(spark, d):
-    had = table(spark, d, "chunks").where("part_index is null and id % 4 = 0").select("id")
+    had = table(spark, d, "chunks").where("kind = 'method'").select("id")
     return L.embedding_needs(L.diff(*_states(spark, d), ["id"], "h"), had, ["id"]).groupBy("status", "needs").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -38,7 +43,7 @@ def vector_state(spark, d):
 
 
 def _sources(spark, d):
-    docs = table(spark, d, "documents").select(F.md5("text").alias("key"), "doc_id", F.when(F.col("doc_id") % 3 == 0, 2).otherwise(1).alias("src_ord"))
+    docs = table(spark, d, "documents").select(F.md5("text").alias("key"), "doc_id", F.when(F.col("lang") == "en", 1).when(F.col("lang") == "tr", 2).otherwise(3).alias("src_ord"))
     return docs.where("key is not null").groupBy("key", "src_ord").agg(F.min("doc_id").alias("doc_id"))
 
 
@@ -63,8 +68,8 @@ def retain_newest(spark, d):
 
 def upsert_rows(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    new = o.where("o_orderkey % 5 = 0").withColumn("o_orderstatus", F.lit("X"))
-    return L.upsert(o.where("o_orderkey % 10 <> 0"), new, ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    new = o.where("o_orderstatus = 'O'").withColumn("o_orderstatus", F.lit("X"))
+    return L.upsert(o.where("o_orderstatus <> 'P'"), new, ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
 def exact_duplicates(spark, d):
@@ -147,9 +152,11 @@ def rechunk_units(spark, d):
 
 QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
 
-_STATES = """c AS (SELECT id, arg_min(code_hash, indexed_at) AS oh, arg_max(code_hash, indexed_at) AS nh FROM chunks GROUP BY id),
-s AS (SELECT id, CASE WHEN id % 10 = 7 THEN 'new' WHEN id % 10 = 3 THEN 'deleted' WHEN oh = nh THEN 'unchanged' ELSE 'changed' END AS status FROM c)"""
-_SRC = "src AS (SELECT md5(text) AS key, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS src_ord, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)"
+_STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
+r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
+o AS (SELECT id, arg_max(h, i) AS oh FROM r WHERE us <= half GROUP BY id), n AS (SELECT id, arg_max(h, i) AS nh FROM r GROUP BY id HAVING max(us) > max(tenth)),
+s AS (SELECT id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'deleted' WHEN oh = nh THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n USING (id))"""
+_SRC = "src AS (SELECT md5(text) AS key, CASE lang WHEN 'en' THEN 1 WHEN 'tr' THEN 2 ELSE 3 END::BIGINT AS src_ord, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)"
 _KEYS = ", ".join(f"'{x}'" for x in G.KEYWORDS)
 _CALLS = rf"list_filter(regexp_extract_all(lower(coalesce(code, '')[1:4000]), '\b([a-z_]\w*)\s*\(', 1), lambda x: x NOT IN ({_KEYS}) AND x <> coalesce(lower(trim(regexp_extract(name, '[^.]*$'))), ''))"
 # list_distinct keeps no order: the first place of each name does
@@ -158,7 +165,7 @@ _FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:50]"
 ORACLE = {
     "index_diff": f"WITH {_STATES} SELECT id, status FROM s",
     "diff_counts": f"WITH {_STATES} SELECT status, count(*) AS n FROM s GROUP BY status",
-    "embedding_needs": f"""WITH {_STATES}, had AS (SELECT DISTINCT id FROM chunks WHERE part_index IS NULL AND id % 4 = 0),
+    "embedding_needs": f"""WITH {_STATES}, had AS (SELECT DISTINCT id FROM chunks WHERE kind = 'method'),
 x AS (SELECT s.id, status, had.id IS NOT NULL AS had FROM s LEFT JOIN had USING (id))
 SELECT status, CASE status WHEN 'new' THEN true WHEN 'changed' THEN true WHEN 'unchanged' THEN NOT had ELSE false END AS needs, count(*) AS n FROM x GROUP BY ALL""",
     "vector_state": """WITH v AS (SELECT DISTINCT vec_id FROM embeddings), g AS (SELECT lower(trim(source)) AS source, count(*) AS n_docs, count(vec_id) AS n_vectors FROM documents LEFT JOIN v ON vec_id = doc_id GROUP BY 1)
@@ -168,7 +175,7 @@ SELECT *, CASE WHEN n_vectors = 0 THEN 'none' WHEN n_vectors < n_docs THEN 'part
     "latest_per_key": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY requested_at DESC, request_id DESC) AS k, FROM index_requests), n AS (SELECT collection, count(DISTINCT request_id) AS n_requests FROM index_requests GROUP BY 1)
 SELECT collection, request_id, strftime(requested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS requested, n_requests FROM r JOIN n USING (collection) WHERE k = 1""",
     "retain_newest": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 3",
-    "upsert_rows": """SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""",
+    "upsert_rows": """SELECT CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
     "exact_duplicates": "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM documents JOIN g ON md5(text) = h",
     "duplicate_code": rf"""WITH {CUR}, c AS (SELECT id, regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '') AS unit, md5(regexp_replace(code, '[ \t\r\n]+', '', 'g')) AS h FROM cur WHERE kind = 'method' AND length(code) >= 300)
 SELECT min(id) AS class_id, count(*) AS copies, count(DISTINCT unit) AS units FROM c GROUP BY h HAVING count(*) > 1""",
