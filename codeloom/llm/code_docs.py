@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 MIN_WORDS = 4
 
-_SPANS = "comments array<struct<e:int,s:int>>, functions array<struct<s:int,name:string,ds:int,de:int>>, statements array<int>"
+_SPANS = "comments array<struct<e:int,s:int>>, functions array<struct<s:int,e:int,name:string,ds:int,de:int>>, statements array<int>"
 
 # comments and strings, per family of languages
 _SLASH = r"//[^\r\n]*|/\*.*?(?:\*/|\Z)"
@@ -130,6 +130,19 @@ def _braced(masked: str, code: str, lang: str) -> list[tuple[int, int, str, int,
     return out
 
 
+def _trim(code: str, comments: list[tuple[int, int]], s: int, e: int) -> int:
+    """The end of a Python function without what follows its body: blank lines, and comments that aren't indented deeper than its head."""
+    indent = len(code[max(code.rfind("\n", 0, s), code.rfind("\r", 0, s)) + 1 : s].expandtabs())
+    while True:
+        e = s + len(code[s:e].rstrip())
+        a = max(code.rfind("\n", s, e), code.rfind("\r", s, e)) + 1
+        at = a + len(code[a:e]) - len(code[a:e].lstrip())
+        i = bisect_right(comments, (at, len(code))) - 1
+        if not a or i < 0 or at >= comments[i][1] or len(code[a:at].expandtabs()) > indent:
+            return e
+        e = a
+
+
 def _python(masked: str, code: str, lang: str) -> list[tuple[int, int, str, int, int]]:
     out, end = [], 0
     for m in _PY_DEF.finditer(masked):
@@ -181,11 +194,13 @@ def _alone_or_class(masked: str, at: int) -> bool:
 
 
 def spans(code: str, lang: str) -> tuple[list, list, list]:
-    """comments (end, start), functions (start, name, docstring start and end or -1) and ends of other statements."""
+    """comments (end, start), functions (start, end, name, docstring start and end or -1) and ends of other statements."""
     code = _LONE_CR.sub("\n", code)  # offsets stay
     masked, comments = _mask(code, lang)
     find = _python if lang == "python" else _pascal if lang == "pascal" else _braced
     fns = sorted(find(masked, code, lang))
+    if lang == "python":
+        fns = [(s, _trim(code, comments, s, e), *x) for s, e, *x in fns]
     statements, at = [], 0
     for s, e, *_ in [*fns, (len(masked), len(masked))]:
         for line in _LINE.finditer(masked, at, max(at, s)):
@@ -198,7 +213,7 @@ def spans(code: str, lang: str) -> tuple[list, list, list]:
     starts = [a for a, *_ in fns]
     inside = lambda at: (i := bisect_right(starts, at)) > 0 and at < fns[i - 1][1]
     free = [(e, s) for s, e in comments if not inside(s)]
-    return free, [(s, n, ds, de) for s, _, n, ds, de in fns], statements
+    return free, fns, statements
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,13 +222,13 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({
             "id": b["id"], "v": b["v"], "kind": b["kind"], "doc": b["doc"], "code": b["code"],
             "comments": [[{"e": e, "s": s} for e, s in x[0]] for x in got],
-            "functions": [[{"s": s, "name": n, "ds": ds, "de": de} for s, n, ds, de in x[1]] for x in got],
+            "functions": [[{"s": s, "e": e, "name": n, "ds": ds, "de": de} for s, e, n, ds, de in x[1]] for x in got],
             "statements": [x[2] for x in got],
         })
 
 
 def attached(chunks: DataFrame) -> DataFrame:
-    """id, v (version), kind, fn_name, doc, comment, docstring: each function with a body and the texts that may document it.
+    """id, v (version), kind, start, fn_name, code, doc, comment, docstring: each function with a body, its own code, and the texts that may document it.
 
     The as-of join: of the comments that end before the function the last, unless a statement ends behind it.
     """
@@ -223,7 +238,8 @@ def attached(chunks: DataFrame) -> DataFrame:
     f = f.withColumn("c", F.expr("array_max(filter(comments, c -> c.e <= f.s))")).withColumn("t", F.expr("array_max(filter(statements, t -> t <= f.s))"))
     near = F.when(F.col("c").isNotNull() & (F.col("t").isNull() | (F.col("t") <= F.col("c.s"))), F.expr("substring(code, c.s + 1, c.e - c.s)"))
     string = F.when(F.col("f.ds") >= 0, F.expr("substring(code, f.ds + 1, f.de - f.ds)"))
-    return f.select("id", "v", "kind", F.col("f.name").alias("fn_name"), "doc", near.alias("comment"), string.alias("docstring"))
+    own = F.expr("substring(code, f.s + 1, f.e - f.s)")
+    return f.select("id", "v", "kind", F.col("f.s").alias("start"), F.col("f.name").alias("fn_name"), own.alias("code"), "doc", near.alias("comment"), string.alias("docstring"))
 
 
 # --- which documentation is real; fixed patterns of tools, licences and generators -------------------------------------------
@@ -271,21 +287,26 @@ def real_text(doc: Column, name: Column) -> Column:
     return F.when((count >= MIN_WORDS) & (rest >= MIN_WORDS) & ~bad, d)
 
 
-def pairs(chunks: DataFrame) -> DataFrame:
-    """id, fn_name, code_doc: each really documented function of the current method and type rows.
-
-    For a method its doc field counts if it has two characters besides blanks; otherwise, and for members of types, the comment directly above or the docstring.
-    Null code has no functions; rows without id are left out; rows that tie count once; a name that
-    occurs twice in a chunk keeps the least of its descriptions.
-    """
+def _documented(chunks: DataFrame) -> DataFrame:
+    """id, start, fn_name, code, code_doc: the really documented functions of the current method and type rows; rows that tie come repeatedly."""
     f = attached(chunks)
     given = (F.col("kind") == "method") & (F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s", "")) >= 2)
     texts = F.when(given, F.array("doc")).otherwise(F.array("comment", "docstring"))
-    f = f.select("id", "v", "fn_name", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
-    f = f.select("id", "v", "fn_name", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
+    f = f.select("id", "v", "start", "fn_name", "code", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
+    f = f.select("id", "v", "start", "fn_name", "code", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
     newest = chunks.where("id is not null").groupBy("id").agg(F.max(_version()).alias("v"))
-    kept = f.join(newest, ["id", "v"])
-    return kept.groupBy("id", "fn_name").agg(F.min("code_doc").alias("code_doc"))
+    return f.join(newest, ["id", "v"]).drop("v")
+
+
+def pairs(chunks: DataFrame) -> DataFrame:
+    """id, start, fn_name, code, code_doc: one row per really documented function of the current method and type rows.
+
+    start is the function's offset in the chunk's code, so overloads stay apart. For a method its doc field counts if it has
+    two characters besides blanks; otherwise, and for members of types, the comment directly above or the docstring.
+    Null code has no functions; rows without id are left out; rows that tie count once.
+    """
+    g = _documented(chunks).groupBy("id", "start").agg(F.min(F.struct("fn_name", "code", "code_doc")).alias("p"))
+    return g.select("id", F.col("start").cast("bigint").alias("start"), "p.fn_name", "p.code", "p.code_doc")
 
 
 def _version() -> Column:
@@ -294,4 +315,4 @@ def _version() -> Column:
 
 
 def found(chunks: DataFrame) -> DataFrame:
-    return pairs(chunks).select("id", "fn_name")
+    return _documented(chunks).select("id", "fn_name").distinct()

@@ -83,3 +83,23 @@ def test_nulls_versions_ties_and_long_texts(spark):
     assert {(r.id, r.fn_name) for r in C.found(df).collect()} == {(1, "A"), (3, "A"), (9, "B")}
     assert C.found(df.limit(0)).count() == 0
     assert C.pairs(df).where(F.col("id") == 1).first().code_doc == REAL
+
+
+def pairs_of(spark, rows):
+    day = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(i, day, k, None, g, c, "clash", "clash") for i, (k, g, c) in enumerate(rows)], SCHEMA)
+    return {(r.id, r.start): (r.fn_name, r.code, r.code_doc) for r in C.pairs(df).collect()}
+
+
+def test_pairs_have_code_and_keep_overloads(spark):
+    one, two = "int Add(int a) {\n    return a; // 😀\n  }", "int Add(int a, int b) {\n    return a + b;\n  }"
+    other = "Adds both of these numbers and keeps the sign."
+    code = f"class A { '{' }\n  // 😀 {REAL}\n  {one}\n  // {other}\n  {two}\n}}"
+    got = pairs_of(spark, [("type", "java", code)])
+    assert got == {(0, code.index(one)): ("Add", one, f"😀 {REAL}"), (0, code.index(two)): ("Add", two, other)}
+
+
+def test_python_code_ends_before_the_next_comment(spark):
+    one, two = f'def one(self):\n        """{REAL}"""\n        return 1\n        # inside', 'def two(self):\n        return """\n# text"""'
+    code = f"class A:\n    {one}\n\n    # {REAL}\n    {two}\n\n# outside\nx = 1\n"
+    assert pairs_of(spark, [("type", "python", code)]) == {(0, code.index(one)): ("one", one, REAL), (0, code.index(two)): ("two", two, REAL)}
