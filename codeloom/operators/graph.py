@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.session import Scratch
 
+# the reference's caps, for the queries that show what it shows; edges are whole without them
 CODE_CAP = 4_000
+NAMES_CAP = 50
 CANDIDATES = 8
 CALLERS = 16
 
@@ -17,31 +19,40 @@ KEYWORDS = ["if", "for", "while", "switch", "case", "return", "catch", "and", "o
 COMMON = ["create", "free", "destroy", "execute", "add", "clear", "assign", "open", "close", "read", "write", "get", "set", "init", "start", "stop", "run", "update", "delete", "insert", "load", "save", "next", "first", "last", "count", "exists", "format", "copy", "length", "inc", "dec", "exit", "print", "len", "str", "int", "range", "append", "main"]
 
 
-def called_names(code: Column, own: Column) -> Column:
-    """Distinct lower-case names before a parenthesis, without keywords and the own bare name, in order, at most 50; of the first 4000 characters."""
-    names = F.regexp_extract_all(F.lower(F.substring(F.coalesce(code, F.lit("")), 1, CODE_CAP)), F.lit(r"\b([a-z_]\w*)\s*\("), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(names, lambda n: ~n.isin(KEYWORDS) & (n != F.coalesce(own, F.lit(""))))), 1, 50)
+def called_names(code: Column, own: Column, capped: bool = False) -> Column:
+    """Distinct lower-case names before a parenthesis, without keywords and the own bare name, in order. Capped: at most 50, of the first 4000 characters."""
+    code = F.coalesce(code, F.lit(""))
+    names = F.regexp_extract_all(F.lower(F.substring(code, 1, CODE_CAP) if capped else code), F.lit(r"\b([a-z_]\w*)\s*\("), F.lit(1))
+    names = F.array_distinct(F.filter(names, lambda n: ~n.isin(KEYWORDS) & (n != F.coalesce(own, F.lit("")))))
+    return F.slice(names, 1, NAMES_CAP) if capped else names
 
 
-def name_index(chunks: DataFrame) -> DataFrame:
-    """collection, bare, id, cand_ord: the chunks that a name may mean, one per unit (a method before others, then the least id), in order of the unit's first id; eight at most."""
+def name_index(chunks: DataFrame, capped: bool = False) -> DataFrame:
+    """collection, bare, id: the chunks that a name may mean, one per unit (a method before others, then the least id). Capped: the eight whose units have the least first ids."""
     c = chunks.where(F.col("kind").isin("method", "decl", "type")).select("collection", "unit", T.bare_name(F.col("name")).alias("bare"), "id", "kind").where("bare <> ''")
     best = F.min(F.struct((F.col("kind") != "method").cast("int").alias("o"), "id")).alias("b")
     g = c.groupBy("collection", "unit", "bare").agg(best, F.min("id").alias("first_id")).select("collection", "bare", F.col("b.id").alias("id"), "first_id")
-    w = Window.partitionBy("collection", "bare").orderBy("first_id")
-    return g.withColumn("cand_ord", F.row_number().over(w)).where(F.col("cand_ord") <= CANDIDATES).select("collection", "bare", "id", "cand_ord")
+    if capped:
+        w = Window.partitionBy("collection", "bare").orderBy("first_id")
+        g = g.withColumn("cand_ord", F.row_number().over(w)).where(F.col("cand_ord") <= CANDIDATES)
+    return g.select("collection", "bare", "id")
 
 
-def call_edges(chunks: DataFrame) -> DataFrame:
-    """collection, caller_id, callee_id, name of each resolved call; callers are methods. Common names are not resolved, none calls itself."""
-    m = chunks.where("kind = 'method'").select("collection", F.col("id").alias("caller_id"), F.explode(called_names(F.col("code"), T.bare_name(F.col("name")))).alias("bare"))
+def call_edges(chunks: DataFrame, capped: bool = False) -> DataFrame:
+    """collection, caller_id, callee_id, name of each resolved call; callers are methods. Common names are not resolved, none calls itself.
+
+    All calls of the whole code, with all candidates; capped: with the reference's caps on text, names and candidates.
+    """
+    m = chunks.where("kind = 'method'").select("collection", F.col("id").alias("caller_id"), F.explode(called_names(F.col("code"), T.bare_name(F.col("name")), capped)).alias("bare"))
     m = m.where(~F.col("bare").isin(COMMON))
-    e = m.join(name_index(chunks), ["collection", "bare"]).where("caller_id <> id")
+    e = m.join(name_index(chunks, capped), ["collection", "bare"]).where("caller_id <> id")
     return e.groupBy("collection", "caller_id", F.col("id").alias("callee_id")).agg(F.min("bare").alias("name"))
 
 
-def called_by(edges: DataFrame, cap: int = CALLERS) -> DataFrame:
-    """collection, callee_id, n_callers, callers: the first callers by id, at most ``cap``, and how many there are."""
+def called_by(edges: DataFrame, cap: int | None = CALLERS) -> DataFrame:
+    """collection, callee_id, n_callers, callers: the first callers by id, at most ``cap`` (None: all), and how many there are."""
+    if cap is None:
+        return edges.groupBy("collection", "callee_id").agg(F.count(F.lit(1)).alias("n_callers"), F.array_sort(F.collect_list("caller_id")).alias("callers"))
     w = Window.partitionBy("collection", "callee_id").orderBy("caller_id")
     first = edges.withColumn("n", F.row_number().over(w)).where(F.col("n") <= cap).groupBy("collection", "callee_id").agg(F.array_sort(F.collect_list("caller_id")).alias("callers"))
     return edges.groupBy("collection", "callee_id").agg(F.count(F.lit(1)).alias("n_callers")).join(first, ["collection", "callee_id"])

@@ -10,16 +10,27 @@ from codeloom.operators import components, documents
 from codeloom.operators import graph as G
 from codeloom.operators import hierarchy as H
 from codeloom.plans.common import CUR, cur, wide
-from codeloom.plans.indexing import _CALLS, _FIRST
+from codeloom.plans.indexing import _CALLS, _CALLS_WHOLE, _FIRST, _FIRST_WHOLE
 from codeloom.plans.training import _TREE
 
 
+# the names without _whole keep the reference's caps on text, names and candidates (see graph.py), as their SQL twins do; those with it have every edge
+
+
 def call_edges(spark, d):
+    return G.call_edges(cur(spark, d), capped=True)
+
+
+def call_edges_whole(spark, d):
     return G.call_edges(cur(spark, d))
 
 
 def called_by(spark, d):
-    return wide(G.called_by(G.call_edges(cur(spark, d))).withColumn("callers", F.array_join("callers", ",")))
+    return wide(G.called_by(G.call_edges(cur(spark, d), capped=True)).withColumn("callers", F.array_join("callers", ",")))
+
+
+def called_by_whole(spark, d):
+    return wide(G.called_by(G.call_edges(cur(spark, d)), cap=None).withColumn("callers", F.array_join("callers", ",")))
 
 
 def symbol_edges(spark, d):
@@ -84,17 +95,33 @@ def topo_order(spark, d):
 
 def impact(spark, d):
     """What a change of the units whose stem begins with A to C reaches."""
+    return _impact(spark, d, capped=True)
+
+
+def impact_whole(spark, d):
+    return _impact(spark, d, capped=False)
+
+
+def _impact(spark, d, capped):
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
     changed = c.where(F.lower(T.stem(F.col("unit"))).rlike("^[abc]")).select("collection", "unit").distinct()
     links = _links(spark, d).withColumnRenamed("src_collection", "collection")
     ids = c.where("kind = 'type'").groupBy("collection", F.lower(F.trim("name")).alias("child")).agg(F.min("id").alias("child_id"))
-    return G.impact(changed, c, G.call_edges(c), links.join(ids, ["collection", "child"]))
+    return G.impact(changed, c, G.call_edges(c, capped), links.join(ids, ["collection", "child"]))
 
 
 def references(spark, d):
+    return _references(spark, d, capped=True)
+
+
+def references_whole(spark, d):
+    return _references(spark, d, capped=False)
+
+
+def _references(spark, d, capped):
     names = table(spark, d, "eval_items").select("collection", F.explode("expected_names").alias("name"))
     c = cur(spark, d)
-    return G.references(c, G.call_edges(c), names.select("collection", T.bare_name(F.col("name")).alias("name")))
+    return G.references(c, G.call_edges(c, capped), names.select("collection", T.bare_name(F.col("name")).alias("name")))
 
 
 def read_unit(spark, d):
@@ -104,9 +131,18 @@ def read_unit(spark, d):
 
 
 def context_pack(spark, d):
-    """Per method with callers: itself, callers, callees and its unit's head, under a budget of 2,000 characters."""
+    """Per method with callers: itself, its first 12 callers and callees, under a budget of 2,000 characters."""
+    return _context_pack(spark, d, capped=True)
+
+
+def context_pack_whole(spark, d):
+    """The same from all edges; the pack's own budget and its 12 callers and callees stay."""
+    return _context_pack(spark, d, capped=False)
+
+
+def _context_pack(spark, d, capped):
     c = cur(spark, d).select("collection", "id", "kind", "name", "unit", F.char_length("code").alias("n_chars"))
-    e = G.call_edges(cur(spark, d))
+    e = G.call_edges(cur(spark, d), capped)
     info = c.select("collection", "id", F.concat_ws("|", "name", F.col("id").cast("string")).alias("title"), "n_chars")
     own = e.select("collection", F.col("callee_id").alias("root")).distinct()
     part = lambda df, o: df.join(info, ["collection", "id"]).select("collection", "root", F.lit(o).alias("o"), "id", "title", "n_chars")
@@ -124,7 +160,7 @@ def _first(df, n):
     return top_k(df, ["collection", "root"], [F.asc("id")], n).drop("rank")
 
 
-QUERIES = {f.__name__: f for f in (call_edges, called_by, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, references, read_unit, context_pack)}
+QUERIES = {f.__name__: f for f in (call_edges, call_edges_whole, called_by, called_by_whole, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, impact_whole, references, references_whole, read_unit, context_pack, context_pack_whole)}
 
 _U = r"regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '')"
 _BARE = "lower(trim(regexp_extract({0}, '[^.]*$')))"
@@ -187,3 +223,7 @@ fold AS (SELECT collection, root, 0::BIGINT AS k, 0::BIGINT AS used, []::VARCHAR
   FROM fold f JOIN sec s ON s.collection = f.collection AND s.root = f.root AND s.k = f.k + 1)
 SELECT collection, root, used AS used_chars, used // 4 AS used_tokens, array_to_string(kept, ',') AS kept, array_to_string(omitted, ',') AS omitted FROM fold QUALIFY row_number() OVER (PARTITION BY collection, root ORDER BY k DESC) = 1""",
 }
+
+_EDGES_WHOLE = _EDGES.replace(_CALLS, _CALLS_WHOLE).replace(_FIRST.format("l"), _FIRST_WHOLE.format("l")).replace(" QUALIFY row_number() OVER (PARTITION BY collection, bare ORDER BY first_id) <= 8", "")
+ORACLE |= {f"{k}_whole": ORACLE[k].replace(_EDGES, _EDGES_WHOLE) for k in ("call_edges", "impact", "references", "context_pack")}
+ORACLE["called_by_whole"] = ORACLE["called_by"].replace(_EDGES, _EDGES_WHOLE).replace("CASE WHEN n <= 16 THEN caller_id::VARCHAR END", "caller_id::VARCHAR")

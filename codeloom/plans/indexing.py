@@ -105,8 +105,17 @@ def hourly_windows(spark, d):
 
 
 def extract_calls(spark, d):
+    """The reference's first names: at most 50, of the first 4,000 characters. extract_calls_whole has all."""
+    return _calls(spark, d, capped=True)
+
+
+def extract_calls_whole(spark, d):
+    return _calls(spark, d, capped=False)
+
+
+def _calls(spark, d, capped):
     c = cur(spark, d, ["kind", "name", "code"]).where("kind = 'method'")
-    return c.select("id", F.array_join(G.called_names(F.col("code"), T.bare_name(F.col("name"))), ",").alias("calls"))
+    return c.select("id", F.array_join(G.called_names(F.col("code"), T.bare_name(F.col("name")), capped), ",").alias("calls"))
 
 
 def extract_imports(spark, d):
@@ -150,7 +159,7 @@ def rechunk_units(spark, d):
     return chunk_files(files, "again").drop("code", "extends_list")
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
 
 _STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
 r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
@@ -161,6 +170,7 @@ _KEYS = ", ".join(f"'{x}'" for x in G.KEYWORDS)
 _CALLS = rf"list_filter(regexp_extract_all(lower(coalesce(code, '')[1:4000]), '\b([a-z_]\w*)\s*\(', 1), lambda x: x NOT IN ({_KEYS}) AND x <> coalesce(lower(trim(regexp_extract(name, '[^.]*$'))), ''))"
 # list_distinct keeps no order: the first place of each name does
 _FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:50]"
+_CALLS_WHOLE, _FIRST_WHOLE = _CALLS.replace("[1:4000]", ""), _FIRST.removesuffix("[1:50]")
 
 ORACLE = {
     "index_diff": f"WITH {_STATES} SELECT id, status FROM s",
@@ -184,6 +194,7 @@ s AS (SELECT seq, 0 AS i, 'p/' || user_id AS path, CASE WHEN op = 'move' THEN 'd
 SELECT path, op, seq FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, i DESC) = 1""",
     "hourly_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "extract_calls": f"WITH {CUR}, c AS (SELECT id, {_CALLS} AS l FROM cur WHERE kind = 'method') SELECT id, array_to_string({_FIRST.format('l')}, ',') AS calls FROM c",
+    "extract_calls_whole": f"WITH {CUR}, c AS (SELECT id, {_CALLS_WHOLE} AS l FROM cur WHERE kind = 'method') SELECT id, array_to_string({_FIRST_WHOLE.format('l')}, ',') AS calls FROM c",
     "extract_imports": rf"""WITH {CUR}, c AS (SELECT id, string_split(regexp_extract(regexp_replace(code, '//[^\r\n]*|\{{[^}}]*\}}|\(\*[^*]*\*\)', ' ', 'g'), '(?is)\buses\b([^;]*)', 1), ',') AS l FROM cur WHERE kind = 'unithead' AND lang IS NULL),
 n AS (SELECT id, list_filter(list_transform(l, lambda x: regexp_extract(x, '([A-Za-z_][\w.]*)', 1)), lambda x: x <> '') AS n FROM c) SELECT id, array_to_string(n[1:60], ',') AS imports, len(n) AS n FROM n""",
     "huge_chunks": f"WITH {CUR}, c AS (SELECT id, kind, (length(code) - length(replace(code, chr(10), '')))::BIGINT AS lines FROM cur) SELECT *, ceil((lines + 1) / 400)::BIGINT AS n_parts FROM c WHERE lines > 400",
