@@ -53,9 +53,11 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, top: int, min_score: float | None = None, drop_self: bool = False, max_matrix: int = MAX_MATRIX) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, top: int | None, min_score: float | None = None, drop_self: bool = False, max_matrix: int = MAX_MATRIX) -> DataFrame:
     """q_id, id, score, rank: exact cosine neighbours of a stated query set (q_id, v) among all vectors (id, v).
 
+    Without ``top`` every neighbour of at least min_score comes, and no rank: nothing is cut or shuffled.
+
     Queries go to the tasks as matrices of a bounded size; each task keeps its best of every batch, so few rows are shuffled.
     Null, empty and zero vectors, and those of another length, are no one's neighbours. Equal scores (6 digits) are ranked by id.
     """
@@ -83,17 +85,20 @@ def knn(vectors: DataFrame, queries: DataFrame, top: int, min_score: float | Non
                 norm = np.linalg.norm(x, axis=1)
                 keep = norm > 0
                 x, own = x[keep] / norm[keep, None], b["id"].to_numpy()[keep]
+                if not len(own):
+                    continue
                 s = np.round(m @ x.T, 6)
                 if drop_self:
                     s[ids[:, None] == own[None, :]] = -2
-                # the k best of the batch, and all that tie with the last of them
-                least = np.partition(s, max(0, s.shape[1] - top), axis=1)[:, max(0, s.shape[1] - top)]
-                a, c = np.nonzero((s >= least[:, None]) & (s >= (-1.5 if min_score is None else min_score)))
+                keep = s >= (-1.5 if min_score is None else min_score)
+                if top is not None:  # the k best of the batch, and all that tie with the last of them
+                    keep &= s >= np.partition(s, max(0, s.shape[1] - top), axis=1)[:, max(0, s.shape[1] - top)][:, None]
+                a, c = np.nonzero(keep)
                 yield pd.DataFrame({"q_id": ids[a], "id": own[c], "score": s[a, c]})
 
         got = vectors.select("id", "v").where("id is not null").mapInPandas(score, "q_id bigint, id bigint, score double")
         out = got if out is None else out.union(got)
-    return top_k(out, ["q_id"], [F.desc("score"), F.asc("id")], top)
+    return out if top is None else top_k(out, ["q_id"], [F.desc("score"), F.asc("id")], top)
 
 
 def fuse(lists: DataFrame, weights: dict[str, float] = T.WEIGHTS) -> DataFrame:

@@ -81,9 +81,20 @@ def exact_duplicates(spark, d):
 
 def duplicate_code(spark, d):
     """Classes of equal method bodies of 300 characters or more, with how many units they span."""
+    return _code_classes(spark, d)[1].select("class_id", "copies", "units")
+
+
+def duplicate_code_members(spark, d):
+    """One row per chunk of such a class."""
+    c, g = _code_classes(spark, d)
+    return c.join(g, "h").select("id", "class_id", "copies", "units")
+
+
+def _code_classes(spark, d):
+    """Methods (id, unit, h) and the classes of those that share h."""
     c = cur(spark, d, ["unit", "kind", "code"]).where("kind = 'method' and char_length(code) >= 300").select("id", file_path(F.col("unit")).alias("unit"), F.md5(F.regexp_replace("code", r"[ \t\r\n]+", "")).alias("h"))
     g = c.groupBy("h").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.count_distinct("unit").alias("units")).where("copies > 1")
-    return g.select("class_id", "copies", "units")
+    return c, g
 
 
 def _changes(spark, d):
@@ -159,7 +170,7 @@ def rechunk_units(spark, d):
     return chunk_files(files, "again").drop("code", "extends_list")
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
 
 _STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
 r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
@@ -189,6 +200,8 @@ SELECT collection, request_id, strftime(requested_at AT TIME ZONE 'UTC', '%Y-%m-
     "exact_duplicates": "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM documents JOIN g ON md5(text) = h",
     "duplicate_code": rf"""WITH {CUR}, c AS (SELECT id, regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '') AS unit, md5(regexp_replace(code, '[ \t\r\n]+', '', 'g')) AS h FROM cur WHERE kind = 'method' AND length(code) >= 300)
 SELECT min(id) AS class_id, count(*) AS copies, count(DISTINCT unit) AS units FROM c GROUP BY h HAVING count(*) > 1""",
+    "duplicate_code_members": rf"""WITH {CUR}, c AS (SELECT id, regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '') AS unit, md5(regexp_replace(code, '[ \t\r\n]+', '', 'g')) AS h FROM cur WHERE kind = 'method' AND length(code) >= 300),
+g AS (SELECT h, min(id) AS class_id, count(*) AS copies, count(DISTINCT unit) AS units FROM c GROUP BY h HAVING count(*) > 1) SELECT id, class_id, copies, units FROM c JOIN g USING (h)""",
     "cdc_fold": """WITH e AS (SELECT event_id AS seq, CASE event_type WHEN 'purchase' THEN 'delete' WHEN 'click' THEN 'move' ELSE 'upsert' END AS op, user_id FROM events),
 s AS (SELECT seq, 0 AS i, 'p/' || user_id AS path, CASE WHEN op = 'move' THEN 'delete' ELSE op END AS op FROM e UNION ALL SELECT seq, 1, 'p/' || (user_id + 1), 'upsert' FROM e WHERE op = 'move')
 SELECT path, op, seq FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, i DESC) = 1""",

@@ -53,9 +53,15 @@ def find_similar(spark, d):
 
 
 def similar_above(spark, d):
+    """The three nearest of at least 0.3; similar_above_whole has every link."""
     return wide(S.knn(*_vectors(spark, d), top=3, min_score=0.3, drop_self=True))
 
 
+def similar_above_whole(spark, d):
+    """Every link of at least 0.3 from the query set to all rows."""
+    return wide(S.knn(*_vectors(spark, d), top=None, min_score=0.3, drop_self=True))
+
+
 def _lists(spark, d):
     """Dense and sparse lists of documents, for the documents with a vector whose id is divisible by 100."""
     docs = table(spark, d, "documents")
@@ -128,7 +134,7 @@ def paginate(spark, d):
     return wide(S.page(_hits(spark, d), 10, 10).select("q_id", "id", "rank", "total", "has_more"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, hybrid_rrf, hybrid_modes, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
+QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, similar_above_whole, hybrid_rrf, hybrid_modes, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
 
 _IDENT = r"list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+'))"
 _TOK = r"regexp_extract_all(lower(replace(coalesce({0}, ''), 'İ', 'i')), '[\p{{L}}\p{{N}}]+')"
@@ -183,6 +189,7 @@ SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(n)::BIGINT AS lo
     "dense_knn": _knn(10),
     "find_similar": _knn(8, "q.id <> x.id"),
     "similar_above": _knn(3, f"q.id <> x.id AND {_COS} >= 0.3"),
+    "similar_above_whole": f"WITH {_VEC} SELECT q.id AS q_id, x.id AS id, {_COS} AS score FROM vec q, vec x WHERE q.id % 100 = 0 AND q.id <> x.id AND {_COS} >= 0.3",
     "hybrid_rrf": f"""WITH {_LISTS}, f AS ({_fused("('dense', 1.0), ('sparse', 0.6)")}), r AS (SELECT *, row_number() OVER (PARTITION BY q_id {_ORDER}) AS rank, count(*) OVER (PARTITION BY q_id) AS total FROM f)
 SELECT q_id, id, round(score, 6) AS score, dense_rank, sparse_rank, rank, total, total > 8 AS has_more FROM r WHERE rank <= 8""",
     "hybrid_modes": f"WITH {_LISTS} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, q_id, id, row_number() OVER (PARTITION BY q_id {_ORDER}) AS rank FROM ({_fused(w)}) QUALIFY rank <= 5" for m, w in (("dense", "('dense', 1.0)"), ("sparse", "('sparse', 1.0)"), ("anything", "('dense', 1.0), ('sparse', 0.6)"))),

@@ -67,3 +67,13 @@ def test_units_resolve_by_name_then_last_segments(spark):
     uses = spark.createDataFrame([("c", "m", "Sys.Utils"), ("c", "m", "X.Utils"), ("c", "m", "github/x/net"), ("c", "m", "none")], "collection string, unit string, used string")
     got = {r.used: r.target for r in G.resolve_units(uses, units).collect()}
     assert got == {"Sys.Utils": "a/Sys.Utils.pas", "X.Utils": "b/Utils.pas", "github/x/net": "b/net.go", "none": None}
+
+
+def test_duplicate_code_has_a_row_per_member(spark, tmp_path):
+    from codeloom.plans import indexing
+
+    code = "x := 1; " * 50
+    rows = [(i, "c", f"u{i}.pas", "method", code if i < 3 else f"{code}{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "id bigint, collection string, unit string, kind string, code string").selectExpr("*", "timestamp'2024-01-01' as indexed_at")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in indexing.duplicate_code_members(spark, str(tmp_path)).collect()} == {(i, 0, 3, 3) for i in range(3)}

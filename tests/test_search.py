@@ -109,3 +109,13 @@ def test_knn_in_blocks_equals_one_block(spark):
     assert len(a) == 30
     assert S.knn(df.limit(0), q, 5).count() == 0
     assert S.knn(df, q.limit(0), 5).count() == 0
+
+
+def test_threshold_search_gives_every_link(spark):
+    rnd = random.Random(4)
+    v = [(i, [1.0, rnd.gauss(0, 0.1), rnd.gauss(0, 0.1)]) for i in range(60)] + [(100, [-1.0, 0.0, 0.0]), (101, None), (102, [0.0] * 3)]
+    df = spark.createDataFrame(v, "id bigint, v array<double>").repartition(3)
+    q = df.where("id % 10 = 0 and id < 60").withColumnRenamed("id", "q_id")
+    for size in (4_000_000, 6):
+        got = [(r.q_id, r.id) for r in S.knn(df, q, None, min_score=0.3, drop_self=True, max_matrix=size).collect()]
+        assert sorted(got) == sorted((a, b) for a in range(0, 60, 10) for b in range(60) if a != b)
