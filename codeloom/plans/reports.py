@@ -84,8 +84,13 @@ def translation_overlay(spark, d):
 
 
 def prompt_windows(spark, d):
+    """With the first 60 characters of the escaped text; prompt_windows_whole has all of it."""
+    return prompt_windows_whole(spark, d).withColumn("escaped", F.substring("escaped", 1, 60))
+
+
+def prompt_windows_whole(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
-    return wide(docs.select("doc_id", T.context_window(F.char_length("text") * 20, F.lit(600)).alias("num_ctx"), F.substring(T.html_escape(F.col("text")), 1, 60).alias("escaped")))
+    return wide(docs.select("doc_id", T.context_window(F.char_length("text") * 20, F.lit(600)).alias("num_ctx"), T.html_escape(F.col("text")).alias("escaped")))
 
 
 def text_sizes(spark, d):
@@ -127,7 +132,7 @@ def idle_customers(spark, d):
     return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance"))
 
 
-QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, prompt_windows, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
+QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, prompt_windows, prompt_windows_whole, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
 
 _LOG = '''log AS (SELECT event_type AS mode, value AS ms, event_type = 'error' AS zero, ts AS "at", user_id, props->>'$.k' AS q FROM events)'''
 ORACLE = {
@@ -164,3 +169,4 @@ JOIN nation nc ON c_nationkey = nc.n_nationkey JOIN region rc ON nc.n_regionkey
     "top_customers": "WITH o AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1) SELECT c_mktsegment, o_custkey, total, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, o_custkey) AS place FROM o JOIN customer ON o_custkey = c_custkey QUALIFY place <= 10",
     "idle_customers": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS avg_balance FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1-%') GROUP BY 1",
 }
+ORACLE["prompt_windows_whole"] = ORACLE["prompt_windows"].replace("[1:60]", "")

@@ -62,23 +62,40 @@ def similar_above_whole(spark, d):
     return wide(S.knn(*_vectors(spark, d), top=None, min_score=0.3, drop_self=True))
 
 
-def _lists(spark, d):
-    """Dense and sparse lists of documents, for the documents with a vector whose id is divisible by 100."""
+def _lists(spark, d, whole):
+    """Dense and sparse lists of documents, for the documents with a vector whose id is divisible by 100; the sparse query is the whole text or its first 120 characters."""
+    q_text = F.col("text") if whole else F.substring("text", 1, 120)
     docs = table(spark, d, "documents")
     v, q = _vectors(spark, d)
-    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), F.substring("text", 1, 120).alias("q_text")).join(q.select("q_id"), "q_id", "left_semi")
+    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), q_text.alias("q_text")).join(q.select("q_id"), "q_id", "left_semi")
     dense = S.knn(v.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi"), q.join(docs.select(F.col("doc_id").alias("q_id")), "q_id", "left_semi"), top=S.POOL)
     sparse = S.bm25(docs, texts)
     return dense.select("q_id", F.lit("dense").alias("source"), "id", "rank").union(sparse.select("q_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("id"), "rank"))
 
 
 def hybrid_rrf(spark, d):
-    f = S.rank_fused(S.fuse(_lists(spark, d)))
+    return _rrf(_lists(spark, d, whole=False))
+
+
+def hybrid_rrf_whole(spark, d):
+    return _rrf(_lists(spark, d, whole=True))
+
+
+def _rrf(lists):
+    f = S.rank_fused(S.fuse(lists))
     return wide(S.page(f, 0, 8).select("q_id", "id", F.round("score", 6).alias("score"), "dense_rank", "sparse_rank", "rank", "total", "has_more"))
 
 
 def hybrid_modes(spark, d):
-    lists, out = _lists(spark, d), None
+    return _modes(_lists(spark, d, whole=False))
+
+
+def hybrid_modes_whole(spark, d):
+    return _modes(_lists(spark, d, whole=True))
+
+
+def _modes(lists):
+    out = None
     for mode in ("dense", "sparse", "anything"):
         r = S.rank_fused(S.fuse(lists, S.mode_weights(mode))).where("rank <= 5").select(F.lit(mode).alias("mode"), "q_id", "id", "rank")
         out = r if out is None else out.union(r)
@@ -134,7 +151,7 @@ def paginate(spark, d):
     return wide(S.page(_hits(spark, d), 10, 10).select("q_id", "id", "rank", "total", "has_more"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, similar_above_whole, hybrid_rrf, hybrid_modes, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
+QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, similar_above_whole, hybrid_rrf, hybrid_rrf_whole, hybrid_modes, hybrid_modes_whole, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
 
 _IDENT = r"list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+'))"
 _TOK = r"regexp_extract_all(lower(replace(coalesce({0}, ''), 'İ', 'i')), '[\p{{L}}\p{{N}}]+')"
@@ -210,3 +227,6 @@ s AS (SELECT *, CASE WHEN rank <= 50 THEN round(1 / (1 + exp(-(4.0 * common / le
 SELECT q_id, id, rank, round(sc, 6) AS rerank_score, row_number() OVER (PARTITION BY q_id ORDER BY sc DESC NULLS LAST, rank) AS new_rank FROM s""",
     "paginate": f"""{_HITS}, t AS (SELECT q_id, id, rank, count(*) OVER (PARTITION BY q_id) AS total FROM found) SELECT *, total > 20 AS has_more FROM t WHERE rank > 10 AND rank <= 20""",
 }
+
+# the whole text of a document as its sparse query
+ORACLE |= {f"{k}_whole": ORACLE[k].replace("text[1:120] AS q_text", "text AS q_text") for k in ("hybrid_rrf", "hybrid_modes")}
