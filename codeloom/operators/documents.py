@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def read_unit(chunks: DataFrame, cap: int = 150_000) -> DataFrame:
-    """collection, unit, n_chunks, n_used, truncated, content: a unit's chunks by line, up to the first that overflows the cap.
+def read_unit(chunks: DataFrame, cap: int | None = 150_000) -> DataFrame:
+    """collection, unit, n_chunks, n_used, truncated, content: a unit's chunks by line, up to the first that overflows the cap (None: all).
 
     The running length is a window over one unit; only chunks under the cap are collected, so no row exceeds it.
     """
     c = chunks.where("unit is not null").select("collection", "unit", "id", F.coalesce("line_start", F.lit(0)).alias("line"), F.concat(F.lit("# "), F.coalesce("name", F.lit("")), F.lit("\n"), F.coalesce("code", F.lit(""))).alias("part"))
-    w = Window.partitionBy("collection", "unit").orderBy("line", "id")
-    c = c.withColumn("used", F.sum(F.char_length("part") + 1).over(w))
-    kept = F.when(F.col("used") <= cap, F.struct("line", "id", "part"))
+    kept = F.struct("line", "id", "part")
+    if cap is not None:
+        w = Window.partitionBy("collection", "unit").orderBy("line", "id")
+        c = c.withColumn("used", F.sum(F.char_length("part") + 1).over(w))
+        kept = F.when(F.col("used") <= cap, kept)
     g = c.groupBy("collection", "unit").agg(F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_list(kept)).alias("parts"))
     return g.select("collection", "unit", "n_chunks", F.size("parts").alias("n_used"), (F.size("parts") < F.col("n_chunks")).alias("truncated"), F.array_join("parts.part", "\n").alias("content"))
 

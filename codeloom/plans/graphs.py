@@ -125,9 +125,17 @@ def _references(spark, d, capped):
 
 
 def read_unit(spark, d):
+    """Of each unit the first 4,000 characters; read_unit_whole has all."""
+    return _read_unit(spark, d, cap=4_000)
+
+
+def read_unit_whole(spark, d):
+    return _read_unit(spark, d, cap=None)
+
+
+def _read_unit(spark, d, cap):
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
-    r = documents.read_unit(c, cap=4_000)
-    return wide(r.withColumn("content", F.md5("content")))
+    return wide(documents.read_unit(c, cap=cap).withColumn("content", F.md5("content")))
 
 
 def context_pack(spark, d):
@@ -160,7 +168,7 @@ def _first(df, n):
     return top_k(df, ["collection", "root"], [F.asc("id")], n).drop("rank")
 
 
-QUERIES = {f.__name__: f for f in (call_edges, call_edges_whole, called_by, called_by_whole, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, impact_whole, references, references_whole, read_unit, context_pack, context_pack_whole)}
+QUERIES = {f.__name__: f for f in (call_edges, call_edges_whole, called_by, called_by_whole, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, impact_whole, references, references_whole, read_unit, read_unit_whole, context_pack, context_pack_whole)}
 
 _U = r"regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '')"
 _BARE = "lower(trim(regexp_extract({0}, '[^.]*$')))"
@@ -227,3 +235,4 @@ SELECT collection, root, used AS used_chars, used // 4 AS used_tokens, array_to_
 _EDGES_WHOLE = _EDGES.replace(_CALLS, _CALLS_WHOLE).replace(_FIRST.format("l"), _FIRST_WHOLE.format("l")).replace(" QUALIFY row_number() OVER (PARTITION BY collection, bare ORDER BY first_id) <= 8", "")
 ORACLE |= {f"{k}_whole": ORACLE[k].replace(_EDGES, _EDGES_WHOLE) for k in ("call_edges", "impact", "references", "context_pack")}
 ORACLE["called_by_whole"] = ORACLE["called_by"].replace(_EDGES, _EDGES_WHOLE).replace("CASE WHEN n <= 16 THEN caller_id::VARCHAR END", "caller_id::VARCHAR")
+ORACLE["read_unit_whole"] = ORACLE["read_unit"].replace("used <= 4000", "true")

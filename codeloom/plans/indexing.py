@@ -166,7 +166,7 @@ def rechunk_units(spark, d):
 
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
     lang = c.groupBy("collection", "unit").agg(F.min(F.coalesce("lang", F.lit("pascal"))).alias("lang"))
-    files = read_unit(c, cap=1_000_000).join(lang, ["collection", "unit"]).select(F.concat_ws("/", "collection", "unit").alias("unit"), "lang", "content")
+    files = read_unit(c, cap=None).join(lang, ["collection", "unit"]).select(F.concat_ws("/", "collection", "unit").alias("unit"), "lang", "content")
     return chunk_files(files, "again").drop("code", "extends_list")
 
 

@@ -21,3 +21,17 @@ def test_whole_twins_have_no_caps():
     for name, sql in {**graphs.ORACLE, **indexing.ORACLE}.items():
         if name.endswith("_whole"):
             assert not any(x in sql for x in ("[1:4000]", "[1:50]", "<= 8", "<= 16"))
+
+
+def test_units_are_read_whole(spark, tmp_path):
+    from codeloom.operators import documents
+
+    rows = [(i, "c", "u.pas", "method", f"M{i}", i, "x" * 1_500) for i in range(4)]
+    df = spark.createDataFrame(rows, "id bigint, collection string, unit string, kind string, name string, line_start int, code string")
+    full = df.selectExpr("*", "cast(null as string) as doc", "cast(null as string) as lang", "array('') as uses_list", "array('') as extends_list", "timestamp'2024-01-01' as indexed_at")
+    full.write.parquet(f"{tmp_path}/chunks.parquet")
+    r = graphs.read_unit_whole(spark, str(tmp_path)).first()
+    assert (r.n_chunks, r.n_used, r.truncated) == (4, 4, False)
+    long = df.selectExpr("collection", "unit", "id", "name", "line_start", "repeat(code, 300) as code")
+    r = documents.read_unit(long, cap=None).first()
+    assert (r.n_used, r.truncated, len(r.content)) == (4, False, 4 * (450_000 + 5) + 3)
