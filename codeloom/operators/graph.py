@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators.skew import ranked
 from codeloom.session import Scratch
 
 # the reference's caps, for the queries that show what it shows; edges are whole without them
@@ -96,28 +97,28 @@ def unit_dependencies(deps: DataFrame) -> DataFrame:
     return a.join(b, ["collection", "unit"], "full").fillna(0, ["n_uses", "n_used_by"])
 
 
-def topological_layers(deps: DataFrame, max_layers: int = 1000) -> DataFrame:
+def topological_layers(deps: DataFrame) -> DataFrame:
     """collection, unit, layer, place: foundations first, by name inside a layer; units on or behind a cycle come last with layer -1.
 
-    Each round takes the units all of whose dependencies are placed.
+    Each round takes the units all of whose dependencies are placed, until none can be taken; there is one round per layer.
     """
     kept = Scratch(deps.sparkSession, "layers")
-    d = kept.put(deps.where("target is not null and target <> unit").select("collection", "unit", "target").distinct(), "deps")
-    units = kept.put(d.select("collection", "unit").union(d.select("collection", F.col("target").alias("unit"))).distinct(), "units")
-    left, links, out = units, d, []
-    for layer in range(max_layers):
+    none = F.lit("\x00")  # a null collection is one of its own
+    d = kept.put(deps.where("target is not null and target <> unit").select(F.coalesce("collection", none).alias("collection"), "unit", "target").distinct(), "links")
+    units = kept.put(d.select("collection", "unit").union(d.select("collection", F.col("target").alias("unit"))).distinct(), "left")
+    left, links, layer = units, d, 0
+    while True:
         waiting = links.select("collection", "unit").distinct()
-        now = kept.put(left.join(waiting, ["collection", "unit"], "left_anti").withColumn("layer", F.lit(layer)), f"layer{layer}")
+        now = kept.put(left.join(waiting, ["collection", "unit"], "left_anti"), f"layers/layer={layer}")
         if now.isEmpty():
             break
-        out.append(now)
         left = kept.put(left.join(now, ["collection", "unit"], "left_anti"), f"left{layer}")
         links = kept.put(links.join(now.select("collection", F.col("unit").alias("target")), ["collection", "target"], "left_anti"), f"links{layer}")
-    all_ = left.withColumn("layer", F.lit(-1))
-    for x in out:
-        all_ = all_.union(x)
-    order = Window.partitionBy("collection").orderBy(F.when(F.col("layer") < 0, 2**31 - 1).otherwise(F.col("layer")), F.lower("unit"), "unit")
-    return all_.withColumn("place", F.row_number().over(order))
+        kept.drop(*([f"left{layer - 1}", f"links{layer - 1}"] if layer else ["left", "links"]))
+        layer += 1
+    placed = deps.sparkSession.read.schema("collection string, unit string, layer int").parquet(f"{kept.base}/layers")
+    all_ = left.withColumn("layer", F.lit(-1)).unionByName(placed).withColumn("collection", F.nullif("collection", none))
+    return ranked(all_, ["collection"], [F.when(F.col("layer") < 0, 2**31 - 1).otherwise(F.col("layer")), F.lower("unit"), F.col("unit")])
 
 
 def impact(changed: DataFrame, chunks: DataFrame, edges: DataFrame, parents: DataFrame) -> DataFrame:

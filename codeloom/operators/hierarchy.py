@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.model import current, type_name
+from codeloom.operators.skew import heavy_keys, salted_join
 from codeloom.session import Scratch
 
 CYCLE = "(cycle)"
-MAX_ROUNDS = 400
 
 
 def _round(alive: DataFrame, turn: int) -> DataFrame:
@@ -59,38 +59,49 @@ def contract(links: DataFrame, nodes: DataFrame, paths: bool = True) -> DataFram
 
     ``links`` has n and p, one row per child; ``nodes`` has n, with whatever else
     shall be resolved. Keys may be of any one type, not null. Returns n, root,
-    depth and, with ``paths``, path (root first). Nodes on a cycle or below one get a
-    null root, depth -1 and a null path. Rows in ``links`` with a null end are no links; a node
+    depth and, with ``paths``, path (root first) and trail (the way up: the node itself, its parent and so on, each
+    node once). Nodes on a cycle or below one get a null root, depth -1 and a null path; their trail goes once round
+    the cycle. Rows in ``links`` with a null end are no links; a node
     without link is a root.
+
+    Every round takes away at least one node that isn't its own parent (a leaf, or on a bare cycle the node of least rank), so
+    the rounds come to an end by themselves.
     """
     spark = links.sparkSession
     kept = Scratch(spark, "hierarchy")
     seg = F.array("n") if paths else F.lit(None).cast("array<string>")
     links = links.where("n is not null and p is not null").select("n", "p").dropDuplicates(["n"])
     alive = kept.put(links.select("n", "p", F.lit(1).cast("long").alias("w"), seg.alias("seg")), "alive0")
-    everyone = nodes.select("n").union(alive.select(F.col("p").alias("n"))).where("n is not null").distinct()
-    tops = kept.put(everyone.join(alive, "n", "left_anti"), "tops")
+    hubs = heavy_keys(alive, "p")
+    first, parents = alive.select("n"), alive.select(F.col("p").alias("n")).distinct()
+    none = F.lit(None).cast("array<string>")
+    # roots with children are what the replay starts from; nodes without any link are told apart, they are never looked up
+    top = lambda df: df.select("n", F.col("n").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("n") if paths else none).alias("path"))
+    tops = kept.put(top(parents.join(first, "n", "left_anti")), "tops")
+    lone = nodes.select("n").where("n is not null").distinct().join(first.union(parents), "n", "left_anti")
 
     turn = 0
-    while turn < MAX_ROUNDS:
+    while True:
         done = kept.put(_round(alive, turn), f"round{turn}")
         alive = _after(done)
         turn += 1
         if done.where("what = 'keep' and n <> p").isEmpty():
             break
 
-    none = F.lit(None).cast("array<string>")
-    known = tops.select("n", F.col("n").alias("root"), F.lit(0).cast("long").alias("depth"), (F.array("n") if paths else none).alias("path"))
-    parts = [known, alive.select("n", F.lit(None).cast(links.schema["n"].dataType).alias("root"), F.lit(-1).cast("long").alias("depth"), none.alias("path"))]
+    # what is left are nodes that are their own parents: each stands for a cycle, and its segment lists it
+    known = tops.union(kept.put(alive.select("n", F.lit(None).cast(links.schema["n"].dataType).alias("root"), F.lit(-1).cast("long").alias("depth"), (F.reverse("seg") if paths else none).alias("path")), "cores"))
+    parts = [known]
     for t in range(turn - 1, -1, -1):
-        known = _union(parts)
         # a record's parent left later than the record, so it is among what is known by now
-        step = _records(spark.read.parquet(f"{kept.base}/round{t}")).join(known.select(F.col("n").alias("p"), "root", "depth", "path"), "p")
-        ok = F.col("depth") >= 0
-        path = F.when(ok, F.concat("path", F.reverse("seg"))) if paths else none
-        parts.append(kept.put(step.select("n", "root", F.when(ok, F.col("depth") + F.col("w")).otherwise(-1).alias("depth"), path.alias("path")), f"back{t}"))
-    known = _union(parts)
-    return known if paths else known.drop("path")
+        step = salted_join(_records(spark.read.parquet(f"{kept.base}/round{t}")), _union(parts).select(F.col("n").alias("p"), "root", "depth", "path"), "p", hubs)
+        path = F.concat("path", F.reverse("seg")) if paths else none
+        parts.append(kept.put(step.select("n", "root", F.when(F.col("depth") >= 0, F.col("depth") + F.col("w")).otherwise(-1).alias("depth"), path.alias("path")), f"back{t}"))
+        kept.drop(f"round{t}")
+    out = kept.put(_union([*parts, top(lone)]), "resolved")
+    kept.drop("alive0", "tops", "cores", *[f"back{t}" for t in range(turn)])
+    if not paths:
+        return out.drop("path")
+    return out.select("n", "root", "depth", F.when(F.col("depth") >= 0, F.col("path")).alias("path"), F.array_distinct(F.reverse("path")).alias("trail"))
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -116,7 +127,7 @@ def collection_types(chunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def type_hierarchy(chunks: DataFrame, edges: DataFrame, paths: bool = True) -> DataFrame:
-    """src_collection, node_name, root_name, tree_depth and, with paths, path (names, root first).
+    """src_collection, node_name, root_name, tree_depth and, with paths, path (names, root first) and trail (names, the way up).
 
     One row per type of a collection. On a cycle or below one root_name is
     ``(cycle)``, tree_depth -1 and path null. Blank names and names that are empty without
@@ -129,13 +140,16 @@ def type_hierarchy(chunks: DataFrame, edges: DataFrame, paths: bool = True) -> D
     found = contract(type_links(edges).select(key("child").alias("n"), key("parent").alias("p")), types.select(key("child").alias("n")), paths)
     out = types.withColumn("n", key("child")).join(found, "n")
     cols = ["src_collection", F.col("child").alias("node_name"), F.coalesce(bare("root"), F.lit(CYCLE)).alias("root_name"), F.col("depth").alias("tree_depth")]
-    return out.select(*cols, *([F.transform("path", lambda x: F.substring_index(x, sep, -1)).alias("path")] if paths else []))
+    names = lambda c: F.transform(c, lambda x: F.substring_index(x, sep, -1)).alias(c)
+    return out.select(*cols, *([names("path"), names("trail")] if paths else []))
 
 
 def descendants(hierarchy: DataFrame) -> DataFrame:
     """src_collection, node_name, descendant, distance: one row for each node and each type below it.
 
-    Rows instead of one array per node, so that a root with very many descendants is no single row.
+    On a cycle every type is below every other, as many steps away as the first walk up takes; what hangs on a cycle is below all of it.
+    Rows instead of one array per node, so that a root with very many descendants is no single row. The result itself has depth-many
+    rows per type.
     """
-    up = hierarchy.where("path is not null").select("src_collection", F.col("node_name").alias("descendant"), "tree_depth", F.posexplode("path").alias("pos", "node_name"))
-    return up.where(F.col("pos") < F.col("tree_depth")).select("src_collection", "node_name", "descendant", (F.col("tree_depth") - F.col("pos")).alias("distance"))
+    up = hierarchy.select("src_collection", F.col("node_name").alias("descendant"), F.posexplode("trail").alias("distance", "node_name")).where("distance > 0")
+    return up.select("src_collection", "node_name", "descendant", F.col("distance").cast("long").alias("distance"))

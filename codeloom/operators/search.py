@@ -59,48 +59,57 @@ def knn(vectors: DataFrame, queries: DataFrame, top: int | None, min_score: floa
     Without ``top`` every neighbour of at least min_score comes, and no rank: nothing is cut or shuffled.
 
     Queries go to the tasks as matrices of a bounded size; each task keeps its best of every batch, so few rows are shuffled.
-    Null, empty and zero vectors, and those of another length, are no one's neighbours. Equal scores (6 digits) are ranked by id.
+    A query meets the vectors of its own length, so queries of several lengths don't disturb each other. Null, empty and
+    zero vectors are no one's neighbours. Equal scores (6 digits) are ranked by id.
     """
     q = queries.where("q_id is not null and v is not null and size(v) > 0").select("q_id", "v")
-    size = q.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n, dim = size[0], size[1] or 0
-    blocks = max(1, -(-n * dim // max_matrix))
+    # one row per length of the queries; a length beyond the bound goes in blocks
+    sizes = q.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()
     spark, out = vectors.sparkSession, None
-    for i in range(blocks):  # one block as long as the queries fit the bound
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
-        rows = part.toPandas()
-        rows = rows[rows["v"].map(len) == dim]
-        m = np.array(rows["v"].tolist(), float).reshape(len(rows), dim)
-        norm = np.linalg.norm(m, axis=1)
-        m, ids = m[norm > 0] / norm[norm > 0, None], rows["q_id"].to_numpy()[norm > 0]
-        shared = spark.sparkContext.broadcast((m, ids))
+    whole = sum(r["dim"] * r["n"] for r in sizes)
+    parts = [(None, 1, 0)] if whole <= max_matrix else [(r["dim"], k, i) for r in sizes for k in [max(1, -(-r["dim"] * r["n"] // max_matrix))] for i in range(k)]
+    for dim, blocks, i in parts:
+        part = q if dim is None else q.where((F.size("v") == dim) & (F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i))
+        shared = spark.sparkContext.broadcast(_by_length(part.toPandas()))
 
         def score(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            m, ids = shared.value
             for b in batches:
-                b = b[b["v"].map(lambda v: v is not None and len(v) == dim)]
-                if not len(b) or not len(m):
-                    continue
-                x = np.array(b["v"].tolist(), float)
-                norm = np.linalg.norm(x, axis=1)
-                keep = norm > 0
-                x, own = x[keep] / norm[keep, None], b["id"].to_numpy()[keep]
-                if not len(own):
-                    continue
-                s = np.round(m @ x.T, 6)
-                if drop_self:
-                    s[ids[:, None] == own[None, :]] = -2
-                keep = s >= (-1.5 if min_score is None else min_score)
-                if top is not None:  # the k best of the batch, and all that tie with the last of them
-                    keep &= s >= np.partition(s, max(0, s.shape[1] - top), axis=1)[:, max(0, s.shape[1] - top)][:, None]
-                a, c = np.nonzero(keep)
-                yield pd.DataFrame({"q_id": ids[a], "id": own[c], "score": s[a, c]})
+                length = b["v"].map(lambda v: 0 if v is None else len(v))
+                for dim, (m, ids) in shared.value.items():
+                    rows = b[length == dim]
+                    if not len(rows):
+                        continue
+                    x = np.array(rows["v"].tolist(), float)
+                    norm = np.linalg.norm(x, axis=1)
+                    keep = norm > 0
+                    x, own = x[keep] / norm[keep, None], rows["id"].to_numpy()[keep]
+                    if not len(own):
+                        continue
+                    s = np.round(m @ x.T, 6)
+                    if drop_self:
+                        s[ids[:, None] == own[None, :]] = -2
+                    keep = s >= (-1.5 if min_score is None else min_score)
+                    if top is not None:  # the k best of the batch, and all that tie with the last of them
+                        keep &= s >= np.partition(s, max(0, s.shape[1] - top), axis=1)[:, max(0, s.shape[1] - top)][:, None]
+                    a, c = np.nonzero(keep)
+                    yield pd.DataFrame({"q_id": ids[a], "id": own[c], "score": s[a, c]})
 
         got = vectors.select("id", "v").where("id is not null").mapInPandas(score, "q_id bigint, id bigint, score double")
         out = got if out is None else out.union(got)
     return out if top is None else top_k(out, ["q_id"], [F.desc("score"), F.asc("id")], top)
 
 
+def _by_length(rows: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> unit vectors and ids; without zero vectors."""
+    out = {}
+    for dim, g in rows.groupby(rows["v"].map(len)):
+        m = np.array(g["v"].tolist(), float).reshape(len(g), dim)
+        norm = np.linalg.norm(m, axis=1)
+        if (norm > 0).any():
+            out[int(dim)] = (m[norm > 0] / norm[norm > 0, None], g["q_id"].to_numpy()[norm > 0])
+    return out
+
+
 def fuse(lists: DataFrame, weights: dict[str, float] = T.WEIGHTS) -> DataFrame:
     """q_id, id, score, dense_rank, sparse_rank from ranked lists (q_id, source, id, rank): sum of weight / (60 + rank)."""
     w = F.coalesce(*[F.when(F.col("source") == s, F.lit(v)) for s, v in weights.items()])

@@ -59,6 +59,8 @@ ORACLE = {
     "p2_reference_counts": f"WITH {_REFS} SELECT * FROM counts",
     "p5_found": f"WITH RECURSIVE {_TREE} SELECT src_collection, node_name, root_name, tree_depth FROM tree",
     "p5_paths": f"WITH RECURSIVE {_TREE} SELECT src_collection, node_name, root_name, tree_depth, array_to_string(path, ' > ') AS path FROM tree",
-    "p5_descendants": f"""WITH RECURSIVE {_TREE} SELECT src_collection, path[i] AS node_name, node_name AS descendant, (tree_depth - i + 1)::BIGINT AS distance
-FROM (SELECT *, unnest(range(1, tree_depth + 1)) AS i FROM tree WHERE path IS NOT NULL)""",
+    "p5_descendants": f"""WITH RECURSIVE {_TREE},
+up AS (SELECT t.src_collection, t.c AS descendant, l.p AS node_name, 1 AS distance, [t.c, l.p] AS seen FROM types t JOIN link l ON l.src_collection = t.src_collection AND l.c = t.c WHERE l.p <> t.c
+  UNION ALL SELECT u.src_collection, u.descendant, l.p, u.distance + 1, list_append(u.seen, l.p) FROM up u JOIN link l ON l.src_collection = u.src_collection AND l.c = u.node_name WHERE NOT list_contains(u.seen, l.p))
+SELECT src_collection, node_name, descendant, distance::BIGINT AS distance FROM up""",
 }

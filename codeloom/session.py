@@ -26,11 +26,15 @@ def build(master: str = "local[8]", app: str = "codeloom", **conf: str) -> Spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("codeloom.scratch.dir", None)
+    """The shared folder: spark.checkpoint.dir, else the checkpoint folder set on the context.
+
+    Only a local session, which has one machine, gets a temporary folder where neither is set; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or spark.conf.get("codeloom.scratch.dir", None)
     if not base:
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-codeloom-")
         spark.conf.set("codeloom.scratch.dir", base)
     return base.rstrip("/")
@@ -39,20 +43,32 @@ def scratch_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables of one run in the shared folder.
 
-    Iterative operators write each step here and read it back: the lineage is
-    cut, the rows survive the loss of any executor, and a step that is no longer
-    read is deleted at once so that disk use stays at about one step.
+    Iterative operators write each step here and read it back: the lineage is cut and the rows survive the loss of any
+    executor. A step that is no longer read is deleted at once; what a returned DataFrame still reads stays until
+    ``Scratch.clear``, which deletes all that a session has left.
     """
 
+    _left: dict[str, list[str]] = {}
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self._left.setdefault(spark.sparkContext.applicationId, []).append(self.base)
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(path := f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for n in names:
+            _delete(self.spark, f"{self.base}/{n}")
+
+    @classmethod
+    def clear(cls, spark: SparkSession) -> None:
+        for base in cls._left.pop(spark.sparkContext.applicationId, []):
+            _delete(spark, base)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

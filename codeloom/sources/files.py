@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: languages by suffix
@@ -18,16 +20,33 @@ def language(path: Column) -> Column:
     return F.element_at(table, F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1)))
 
 
+def glob_pattern(glob: str) -> str:
+    """A regular expression for the whole relative path. * and ? stay inside a folder, ** crosses folders; a glob without / is for file names in any folder."""
+    g = glob.strip().replace("\\", "/").removeprefix("./").lstrip("/")
+    if "/" not in g:
+        g = f"**/{g}"
+    out, i = "", 0
+    while i < len(g):
+        if g.startswith("**/", i):
+            out, i = out + "(?:[^/]+/)*", i + 3
+        elif g.startswith("**", i):
+            out, i = out + ".*", i + 2
+        else:
+            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(g[i], re.escape(g[i])), i + 1
+    return f"^{out}$"
+
+
 def source_tree(spark: SparkSession, root: str, patterns: str | None = None) -> DataFrame:
-    """unit, lang, modified, size, content of the files below root whose suffix is known; patterns are globs, separated by commas."""
+    """unit, lang, modified, size, content of the files below root whose suffix is known; patterns are globs for the path below root, separated by commas."""
     globs = [g.strip() for g in (patterns or "*").split(",") if g.strip()] or ["*"]
-    out = None
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = F.lit(re.sub(r"^file:/*", "/", root).rstrip("/") + "/")
+    unit = F.regexp_replace("path", r"^file:/*", "/")
+    d = d.select(F.when(F.startswith(unit, base), F.substring(unit, F.length(base) + 1, F.length(unit))).otherwise(unit).alias("unit"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), "content")
+    wanted = F.lit(False)
     for g in globs:
-        d = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g.split("/")[-1]).load(root)
-        out = d if out is None else out.union(d)
-    unit = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + root.replace("file://", "").rstrip("/").replace(".", r"\.") + "/", "")
-    out = out.dropDuplicates(["path"]).select(unit.alias("unit"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
-    return out.withColumn("lang", language(F.col("unit"))).where("lang is not null")
+        wanted = wanted | F.col("unit").rlike(glob_pattern(g))
+    return d.where(wanted).withColumn("content", F.decode("content", "UTF-8")).withColumn("lang", language(F.col("unit"))).where("lang is not null").select("unit", "modified", "size", "content", "lang")
 
 
 def is_dirty(tree: DataFrame, since) -> bool:
@@ -36,9 +55,11 @@ def is_dirty(tree: DataFrame, since) -> bool:
 
 
 def chunk_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON-lines chunks keyed by id; of repeated ids the last line of the last file wins."""
-    d = spark.read.schema(schema).json(path).withColumn("_at", F.monotonically_increasing_id())
-    return d.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("_at")))).where("_n = 1").drop("_n", "_at")
+    """JSON-lines chunks keyed by id; of repeated ids the last line of the last file, by name, wins. Rows without id are left out."""
+    d = spark.read.schema(schema).json(path)
+    # ids of one file grow along it; between files the name decides
+    d = d.select(F.struct("*").alias("r"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    return d.where("r.id is not null").groupBy("r.id").agg(F.max_by("r", "at").alias("r")).select("r.*")
 
 
 def line_slice(content: Column, first: Column, last: Column) -> Column:

@@ -83,3 +83,42 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_trails_go_once_round_a_cycle(spark):
+    parent = {"a": "b", "b": "c", "c": "a", "low": "leaf", "leaf": "b", "x": "top", "self": "self"}
+    nodes = sorted({*parent, *parent.values()})
+    got = H.contract(spark.createDataFrame(list(parent.items()), "n string, p string"), spark.createDataFrame([(n,) for n in nodes], "n string"))
+
+    def walk(n):
+        out = [n]
+        while n in parent and parent[n] not in out:
+            n = parent[n]
+            out.append(n)
+        return out
+
+    assert {r.n: r.trail for r in got.collect()} == {n: walk(n) for n in nodes}
+
+
+def test_hub_of_most_links_is_salted(spark):
+    parent = {f"k{i}": "hub" for i in range(3000)} | {"hub": "top"}
+    nodes = spark.createDataFrame([(n,) for n in {*parent, "top"}], "n string")
+    got = H.contract(spark.createDataFrame(list(parent.items()), "n string, p string"), nodes)
+    assert {(r.root, r.depth) for r in got.where("n like 'k%'").collect()} == {("top", 2)} and got.count() == 3002
+    comp = connected_components(spark.createDataFrame([(i, 5) for i in range(3000)] + [(9000, 9001)], "a long, b long"))
+    assert {(r.component, r.n) for r in comp.groupBy("component").agg({"*": "count"}).toDF("component", "n").collect()} == {(0, 3000), (9000, 2)}
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from codeloom.session import Scratch, scratch_dir
+
+    Scratch.clear(spark)
+    links = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(30)], "n string, p string")
+    assert H.contract(links, links.select("n")).count() == 31
+    left = [Path(b.removeprefix("file://")) for b in Scratch._left[spark.sparkContext.applicationId]]
+    assert [b.parent for b in left] == [Path(scratch_dir(spark).removeprefix("file:").replace("///", "/"))]
+    assert [p.name for p in left[0].iterdir()] == ["resolved"]
+    Scratch.clear(spark)
+    assert not left[0].exists()
