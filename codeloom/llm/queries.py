@@ -62,10 +62,21 @@ def p8_spans(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).spans()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_labels, p6_found, p6_spans, p6_cleaned, p7_mix, p7_shares, p8_found, p8_report, p8_spans)}
+def p8_removals(spark, d):
+    return shared_spans.SharedSpans(table(spark, d, "documents")).removals()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_labels, p6_found, p6_spans, p6_cleaned, p7_mix, p7_shares, p8_found, p8_report, p8_spans, p8_removals)}
 
 _CUR = "cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
+# every window of 400 characters of every text, and what two documents have
+_SHARED = """wins AS (SELECT doc_id, i - 1 AS a, md5(text[i:i + 399]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
+twice AS (SELECT h, min(doc_id) AS least FROM wins GROUP BY h HAVING min(doc_id) <> max(doc_id)), shared AS (SELECT doc_id, a, least FROM wins JOIN twice USING (h))"""
+_STRETCH = """gaps AS (SELECT *, CASE WHEN a <= lag(a) OVER (PARTITION BY doc_id ORDER BY a) + 400 THEN 0 ELSE 1 END AS new FROM {}), runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM gaps),
+spans AS (SELECT doc_id, min(a)::BIGINT AS char_start, (max(a) + 400)::BIGINT AS char_end, min(least) AS least_doc_id FROM runs GROUP BY doc_id, run)"""
+_CLUSTERS = """links AS (SELECT DISTINCT doc_id AS x, least AS y FROM shared WHERE doc_id <> least), both_ AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, x AS r FROM both_ UNION SELECT reach.x, both_.y FROM reach JOIN both_ ON both_.x = reach.r), clusters AS (SELECT x AS doc_id, min(r) AS cluster_id FROM reach GROUP BY x)"""
 ORACLE = {
     "p3_found": rf"""WITH {_CUR} SELECT id, CASE WHEN list_max(list_transform(string_split(replace(replace(code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: length(l))) > 4000
   THEN 'hard' ELSE 'soft' END AS cut FROM cur WHERE length(code) > 4000""",
@@ -74,7 +85,9 @@ grams AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (
 docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 wins AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs))
 SELECT DISTINCT doc_id, item_id FROM wins JOIN grams USING (g)""",
-    "p8_found": """WITH wins AS (SELECT doc_id, md5(text[i:i + 399]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
-twice AS (SELECT h FROM wins GROUP BY h HAVING min(doc_id) <> max(doc_id))
-SELECT DISTINCT doc_id FROM wins JOIN twice USING (h)""",
+    "p8_found": f"WITH {_SHARED} SELECT DISTINCT doc_id FROM shared",
+    "p8_spans": f"WITH {_SHARED}, {_STRETCH.format('shared')} SELECT doc_id, char_start, char_end, least_doc_id FROM spans",
+    "p8_report": f"""WITH RECURSIVE {_SHARED}, {_STRETCH.format('shared')}, {_CLUSTERS}, per AS (SELECT doc_id, count(*) AS n_spans, sum(char_end - char_start) AS shared_chars FROM spans GROUP BY 1)
+SELECT d.doc_id, coalesce(length(text), 0)::INT AS n_chars, coalesce(n_spans, 0)::INT AS n_spans, coalesce(shared_chars, 0)::BIGINT AS shared_chars, cluster_id FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN clusters USING (doc_id)""",
+    "p8_removals": f"""WITH RECURSIVE {_SHARED}, extra AS (SELECT * FROM shared WHERE doc_id <> least), {_STRETCH.format('extra')}, {_CLUSTERS} SELECT doc_id, char_start, char_end, cluster_id FROM spans JOIN clusters USING (doc_id)""",
 }

@@ -43,17 +43,35 @@ def frame(spark, docs):
 
 
 def test_equals_brute_force(spark):
-    for seed, span, gram, sample in ((1, 40, 20, 16), (2, 30, 10, 4)):
+    for seed, span, size in ((1, 40, 20), (2, 30, 10), (3, 400, 200)):
         docs = corpus(seed, span)
         want = brute(docs, span)
-        s = Z.SharedSpans(frame(spark, docs), span, gram)
-        assert {r.doc_id for r in s.documents(sample).collect()} == set(want)
+        assert {r.doc_id for r in Z.SharedSpans(frame(spark, docs), span, size).documents().collect()} == set(want)
+        s = Z.SharedSpans(frame(spark, docs), span, size, segment=1 << 20 if seed != 2 else 64)  # texts beyond a segment are cut
         rep = {r.doc_id: r for r in s.report().collect()}
-        assert {d: r.shared_chars for d, r in rep.items()} == want
-        assert rep[72].cluster_id == rep[73].cluster_id
+        assert {d: r.shared_chars for d, r in rep.items()} == {d: want.get(d, 0) for d, _ in docs}
+        assert rep[72].cluster_id == rep[73].cluster_id and (rep[76].n_chars, rep[76].n_spans, rep[76].cluster_id) == (0, 0, None)
         assert sum(r.char_end - r.char_start for r in s.spans().collect()) == sum(want.values())
 
 
+def test_removals_leave_every_shared_window_once(spark):
+    span = 40
+    docs = corpus(4, span)
+    out = {}
+    for r in Z.SharedSpans(frame(spark, docs), span, 20).removals().collect():
+        out.setdefault(r.doc_id, set()).update(range(r.char_start, r.char_end))
+    where = {}
+    for d, t in docs:
+        for i in range(len(t or "") - span + 1):
+            where.setdefault(t[i : i + span], {}).setdefault(d, []).append(i)
+    for w, by in where.items():
+        for d, places in by.items():
+            for i in places:
+                gone = out.get(d, set()) >= set(range(i, i + span))
+                assert gone or len(by) == 1 or d == min(by)
+    assert not out.get(min(out), set()) or min(out) > 0
+
+
 def test_no_documents_and_repeated_rows(spark):
     assert Z.found(frame(spark, []), 40 + 200).count() == 0
     t = "abcdefgh" * 80
@@ -62,13 +80,32 @@ def test_no_documents_and_repeated_rows(spark):
     assert {r.doc_id for r in Z.found(frame(spark, [(1, t), (2, "x" + t[5:])])).collect()} == {1, 2}
 
 
-def test_hash_depends_on_characters_alone():
-    a = Z.Texts(["zz" + "hello world" * 50, "hello world" * 50], 40, 20)
-    b = Z.Texts(["q", "hello world" * 50], 40, 20)
-    assert a.hashes(np.array([2]), 40) == a.hashes(np.array([552]), 40) == b.hashes(np.array([1]), 40)
-    s, h = a.minima()
-    assert len(s) == 552 - 39 + 550 - 39
-    assert len(h) == len(s)
+def test_paragraphs_depend_on_characters_alone():
+    rnd = random.Random(3)
+    copy = "".join(rnd.choice("abcdefg hij") for _ in range(900))
+    a = Z.Texts(["zz" + copy, "other " * 30], 400, 200, 2)
+    b = Z.Texts(["q" * 500, copy + "end"], 400, 200, 2)
+    assert a.hashes(np.array([2]), 40) == b.hashes(np.array([500]), 40)
+    (pa, fa, la), (pb, fb, lb) = a.picks(), b.picks()
+    # windows that lie within the copy pick the same paragraphs
+    inner = lambda p, f, z, at: {(int(q) - at, k) for q, x, y in zip(p, f, z) for k in range(int(q) - int(y), int(q) - int(x) + 1) if at <= int(q) - k <= at + 500}
+    assert inner(pa, fa, la, 2) == inner(pb, fb, lb, 500) and sum(len(range(int(x), int(y) + 1)) for x, y in zip(fa, la)) == 503
+    shared = sorted({q - 2 for q in pa.tolist()} & {q - 500 for q in pb.tolist()})
+    assert (a.band_keys(np.array(shared) + 2) == b.band_keys(np.array(shared) + 500)).all()
+
+
+def test_bands_reach_the_recall_they_are_tuned_for():
+    assert Z.tune(1.0) == 1 and Z.tune(0.95, 0.99, 2) == 2 and Z.tune(0.8, 0.99, 2) == 5
+    rnd = random.Random(9)
+    hit = 0
+    for n in range(400):
+        t = [rnd.choice("abcdefghijklmnop ") for _ in range(200)]
+        u = list(t)
+        u[rnd.choice([0, 199])] = "#"  # one or no shingle of some 47 differs
+        x = Z.Texts(["".join(t), "".join(u)], 200, 199, 2)
+        k = x.band_keys(np.array([0, 200]))
+        hit += bool((k[0] == k[1]).any())
+    assert hit / 400 >= Z.RECALL
 
 
 def test_bloom_has_no_false_negatives(spark):
