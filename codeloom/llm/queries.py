@@ -22,6 +22,21 @@ def p3_pieces(spark, d):
     return splitting.pieces(table(spark, d, "chunks"))
 
 
+def p3_rebuilt(spark, d):
+    """What the pieces of each item make up again: its size and text, its lines, and whether every piece keeps the limit and the overlap."""
+    from pyspark.sql import functions as F
+
+    p = splitting.pieces(table(spark, d, "chunks")).withColumn("core", F.expr("substring(piece, core_start - char_start + 1)"))
+    back, core = F.col("core_start") - F.col("char_start"), F.col("char_end") - F.col("core_start")
+    fits = (F.char_length("piece") <= splitting.LIMIT) & (F.char_length("piece") == F.col("char_end") - F.col("char_start"))
+    laps = back == F.least(F.lit(splitting.OVERLAP), F.col("core_start"), splitting.LIMIT - core)
+    # the pieces of one item are no more than the cell they come from
+    return p.groupBy("id").agg(
+        F.sum(core).alias("n_chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "core"))), lambda x: x["core"]), "")).alias("code_md5"),
+        F.min("line_start").cast("bigint").alias("line_start"), F.max("line_end").cast("bigint").alias("line_end"), F.min(fits).alias("fits"), F.min(laps).alias("overlaps"), (F.max("piece_no") == F.count(F.lit(1))).alias("numbered"),
+    )
+
+
 def p4_found(spark, d):
     return provenance.found(table(spark, d, "chunks"), table(spark, d, "index_requests"))
 
@@ -66,7 +81,7 @@ def p8_removals(spark, d):
     return shared_spans.SharedSpans(table(spark, d, "documents")).removals()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p4_found, p4_labels, p6_found, p6_spans, p6_cleaned, p7_mix, p7_shares, p8_found, p8_report, p8_spans, p8_removals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_labels, p6_found, p6_spans, p6_cleaned, p7_mix, p7_shares, p8_found, p8_report, p8_spans, p8_removals)}
 
 _CUR = "cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
@@ -80,6 +95,8 @@ reach AS (SELECT x, x AS r FROM both_ UNION SELECT reach.x, both_.y FROM reach J
 ORACLE = {
     "p3_found": rf"""WITH {_CUR} SELECT id, CASE WHEN list_max(list_transform(string_split(replace(replace(code, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: length(l))) > 4000
   THEN 'hard' ELSE 'soft' END AS cut FROM cur WHERE length(code) > 4000""",
+    "p3_rebuilt": rf"""WITH {_CUR} SELECT id, length(code)::BIGINT AS n_chars, md5(code) AS code_md5, coalesce(line_start, 1)::BIGINT AS line_start,
+  (coalesce(line_start, 1) + len(regexp_extract_all(code, '\r\n|\r|\n')) - CASE WHEN regexp_matches(code, '[\r\n]\z') THEN 1 ELSE 0 END)::BIGINT AS line_end, true AS fits, true AS overlaps, true AS numbered FROM cur WHERE length(code) > 4000""",
     "p6_found": f"""WITH items AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items),
 grams AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items)),
 docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),

@@ -70,13 +70,31 @@ def test_nulls_versions_ties_empty(spark):
     assert P.pieces(df.limit(0)).count() == P.found(df.limit(0)).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 40), max_size=40), st.integers(10, 60))
-def test_cuts_are_line_ends_or_inside_long_lines(lengths, limit):
-    bounds = [sum(lengths[: i + 1]) for i in range(len(lengths))]
-    step = limit - limit // 5
-    cuts = P._cuts(bounds, bounds[::3], limit, step)
-    assert cuts == sorted(set(cuts))
-    assert all(b - a <= limit for a, b in zip(cuts, cuts[1:]))
-    if bounds:
-        assert (cuts[0], cuts[-1]) == (bounds[0], bounds[-1])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 80), max_size=40), st.integers(10, 60), st.integers(0, 30))
+def test_cuts_are_line_ends_or_inside_long_lines(lengths, limit, rest):
+    bounds = [5 + sum(lengths[: i + 1]) for i in range(len(lengths))]
+    step, end = limit - limit // 5, (bounds[-1] if bounds else 5) + rest
+    cuts = P._cuts(5, end, bounds, bounds[::3], limit, step)
+    assert cuts == sorted(set(cuts)) and cuts[-1:] == ([end] if end > 5 else [])
+    ends = [5, *cuts]
+    assert all(b - a <= limit for a, b in zip(ends, ends[1:]))
+    lines = [5, *bounds, *([end] if rest else [])]
+    for c in cuts:
+        assert c in lines or any(a < c < b and b - a > limit for a, b in zip(lines, lines[1:]))
+
+
+def test_pieces_are_nearly_full(spark):
+    code = "".join(f"    line {i} of some length = {i * i};\n" + ("}\n\n" if i % 7 == 0 else "") for i in range(9000))  # five ranges
+    ps = P.pieces(frame(spark, [code])).orderBy("piece_no").collect()
+    sizes = [p.char_end - p.char_start for p in ps]
+    assert sorted(sizes)[len(sizes) // 2] > 3700 and sizes[0] > 3500 and min(sizes[:-1]) > 3000
+    assert "".join(p.piece[p.core_start - p.char_start :] for p in ps) == code
+
+
+def test_ranges_of_long_texts_are_spread_and_equal(spark, monkeypatch):
+    codes = texts()
+    want = sorted(map(tuple, P.pieces(frame(spark, codes), 100, 20, 64).collect()))
+    monkeypatch.setattr(P.range_texts, "__defaults__", (200,))
+    monkeypatch.setattr(P.boundary_tables, "__defaults__", (P.RANGE, 200))
+    assert sorted(map(tuple, P.pieces(frame(spark, codes), 100, 20, 64).collect())) == want
