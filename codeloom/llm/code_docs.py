@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
-Comment spans, function spans and the ends of other statements are found independently
-of each other, as offsets into a chunk's code. An as-of join by offset then gives each function the nearest comment
-before it, and rejects it if a statement ended in between. All spans of a chunk travel in its row, so the
-join needs no shuffle; only what it yields meets the choice of current rows.
+Comment spans and function spans are found independently of each other and make up a table each, as offsets into a chunk's code. A comment
+reaches up to the end of the first statement after it. An as-of interval join by chunk and offset gives each
+function the nearest comment before it, if the function begins within that comment's reach; a statement or another
+function in between ends the reach.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MIN_WORDS = 4
 
-_SPANS = "comments array<struct<e:int,s:int>>, functions array<struct<s:int,e:int,name:string,ds:int,de:int>>, statements array<int>"
+#: rows of both tables: of a comment pos is the end, other the start, reach how far it may document; of a function pos is the start, other the end
+_SPANS = "id bigint, v bigint, is_function boolean, pos int, other int, reach int, fn_name string, text string, doc string, code string"
 
 # comments and strings, per family of languages
 _SLASH = r"//[^\r\n]*|/\*.*?(?:\*/|\Z)"
@@ -193,53 +194,69 @@ def _alone_or_class(masked: str, at: int) -> bool:
     return masked[a:at].strip().lower() in ("", "class")
 
 
-def spans(code: str, lang: str) -> tuple[list, list, list]:
-    """comments (end, start), functions (start, end, name, docstring start and end or -1) and ends of other statements."""
-    code = _LONE_CR.sub("\n", code)  # offsets stay
-    masked, comments = _mask(code, lang)
-    find = _python if lang == "python" else _pascal if lang == "pascal" else _braced
-    fns = sorted(find(masked, code, lang))
-    if lang == "python":
-        fns = [(s, _trim(code, comments, s, e), *x) for s, e, *x in fns]
-    statements, at = [], 0
-    for s, e, *_ in [*fns, (len(masked), len(masked))]:
-        for line in _LINE.finditer(masked, at, max(at, s)):
+def comment_spans(masked: str, comments: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """start, end, reach of each comment: the end of the first line behind it that holds more than blanks and annotations."""
+    out = []
+    for s, e in comments:
+        for line in _LINE.finditer(masked, e):
             t = line.group()
             if t.strip() and not _ANNOTATION.match(t):
-                statements.append(line.start() + len(t.rstrip()))
-        if e > s:
-            statements.append(e)
-        at = max(at, e)
-    starts = [a for a, *_ in fns]
-    inside = lambda at: (i := bisect_right(starts, at)) > 0 and at < fns[i - 1][1]
-    free = [(e, s) for s, e in comments if not inside(s)]
-    return free, fns, statements
-
-
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        got = [spans(c, language(g)) if c else ([], [], []) for c, g in zip(b["code"], b["lang"])]
-        yield pd.DataFrame({
-            "id": b["id"], "v": b["v"], "kind": b["kind"], "doc": b["doc"], "code": b["code"],
-            "comments": [[{"e": e, "s": s} for e, s in x[0]] for x in got],
-            "functions": [[{"s": s, "e": e, "name": n, "ds": ds, "de": de} for s, e, n, ds, de in x[1]] for x in got],
-            "statements": [x[2] for x in got],
-        })
-
-
-def attached(chunks: DataFrame) -> DataFrame:
-    """id, v (version), kind, start, fn_name, code, doc, comment, docstring: each function with a body, its own code, and the texts that may document it.
-
-    The as-of join: of the comments that end before the function the last, unless a statement ends behind it.
-    """
+                out.append((s, e, line.end()))
+                break
+        else:
+            out.append((s, e, len(masked)))
+    return out
+
+
+def function_spans(masked: str, code: str, comments: list[tuple[int, int]], lang: str) -> list[tuple[int, int, str, int, int]]:
+    """start, end, name, start and end of the docstring (-1 for none) of each function with a body."""
+    find = _python if lang == "python" else _pascal if lang == "pascal" else _braced
+    fns = sorted(find(masked, code, lang))
+    return [(s, _trim(code, comments, s, e), *x) for s, e, *x in fns] if lang == "python" else fns
+
+
+def _scan(with_code: bool):
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for i, v, doc, lang, code in zip(b["id"], b["v"], b["doc"], b["lang"], b["code"]):
+                lang, text = language(lang), _LONE_CR.sub("\n", code)  # offsets stay
+                masked, comments = _mask(text, lang)
+                for s, e, reach in comment_spans(masked, comments):
+                    rows.append((i, v, False, e, s, reach, None, code[s:e], None, None))
+                for s, e, name, ds, de in function_spans(masked, text, comments, lang):
+                    rows.append((i, v, True, s, e, None, name, code[ds:de] if ds >= 0 else None, doc, code[s:e] if with_code else None))
+            out = pd.DataFrame(rows, columns=["id", "v", "is_function", "pos", "other", "reach", "fn_name", "text", "doc", "code"])
+            yield out.astype({"pos": "Int32", "other": "Int32", "reach": "Int32"})
+
+    return scan
+
+
+def span_table(chunks: DataFrame, with_code: bool) -> DataFrame:
+    """Comment spans and function spans of the current method and type rows; a method's doc field goes with its functions if it has two characters besides blanks."""
     rows = chunks.where(F.col("kind").isin("method", "type") & F.col("id").isNotNull() & F.col("code").isNotNull())
-    rows = rows.select("id", _version().alias("v"), "kind", "doc", "lang", "code").mapInPandas(_scan, "id bigint, v bigint, kind string, doc string, code string, " + _SPANS)
-    f = rows.withColumn("f", F.explode("functions"))
-    f = f.withColumn("c", F.expr("array_max(filter(comments, c -> c.e <= f.s))")).withColumn("t", F.expr("array_max(filter(statements, t -> t <= f.s))"))
-    near = F.when(F.col("c").isNotNull() & (F.col("t").isNull() | (F.col("t") <= F.col("c.s"))), F.expr("substring(code, c.s + 1, c.e - c.s)"))
-    string = F.when(F.col("f.ds") >= 0, F.expr("substring(code, f.ds + 1, f.de - f.ds)"))
-    own = F.expr("substring(code, f.s + 1, f.e - f.s)")
-    return f.select("id", "v", "kind", F.col("f.s").alias("start"), F.col("f.name").alias("fn_name"), own.alias("code"), "doc", near.alias("comment"), string.alias("docstring"))
+    given = (F.col("kind") == "method") & (F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s", "")) >= 2)
+    spans = rows.select("id", _version().alias("v"), F.when(given, F.col("doc")).alias("doc"), "lang", "code").mapInPandas(_scan(with_code), _SPANS)
+    newest = chunks.where("id is not null").groupBy("id").agg(F.max(_version()).alias("newest"))
+    return spans.join(newest, "id").where("v = newest").drop("newest")
+
+
+def attached(chunks: DataFrame, with_code: bool = True) -> DataFrame:
+    """id, start, fn_name, code, doc, comment, docstring: each function with a body, its own code, and the texts that may document it.
+
+    The as-of interval join: of the comments that end before the function the last, if the function begins within its reach and
+    none ends in between. Rows of a chunk that tie repeat their spans; repeats are passed over.
+    """
+    # one shuffle by id serves the choice of current rows and the join
+    at = Window.partitionBy("id", "v").orderBy("pos", "is_function", "other")
+    spans, same = span_table(chunks, with_code), F.struct("pos", "is_function", "other")
+    spans = spans.withColumn("repeat", F.lag(same).over(at).eqNullSafe(same)).where("not repeat")
+    before = at.rowsBetween(Window.unboundedPreceding, -1)
+    f = spans.withColumn("c", F.last(F.when(~F.col("is_function"), F.struct("other", "reach", "text")), True).over(before))
+    f = f.withColumn("end", F.last(F.when(F.col("is_function"), F.col("other")), True).over(before)).where("is_function")
+    free = F.col("end").isNull() | (F.col("end") <= F.col("c.other"))
+    near = F.when((F.col("pos") < F.col("c.reach")) & free, F.col("c.text"))
+    return f.select("id", F.col("pos").alias("start"), "fn_name", "code", "doc", near.alias("comment"), F.col("text").alias("docstring"))
 
 
 # --- which documentation is real; fixed patterns of tools, licences and generators -------------------------------------------
@@ -287,15 +304,12 @@ def real_text(doc: Column, name: Column) -> Column:
     return F.when((count >= MIN_WORDS) & (rest >= MIN_WORDS) & ~bad, d)
 
 
-def _documented(chunks: DataFrame) -> DataFrame:
-    """id, start, fn_name, code, code_doc: the really documented functions of the current method and type rows; rows that tie come repeatedly."""
-    f = attached(chunks)
-    given = (F.col("kind") == "method") & (F.length(F.regexp_replace(F.coalesce("doc", F.lit("")), r"\s", "")) >= 2)
-    texts = F.when(given, F.array("doc")).otherwise(F.array("comment", "docstring"))
-    f = f.select("id", "v", "start", "fn_name", "code", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
-    f = f.select("id", "v", "start", "fn_name", "code", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
-    newest = chunks.where("id is not null").groupBy("id").agg(F.max(_version()).alias("v"))
-    return f.join(newest, ["id", "v"]).drop("v")
+def _documented(chunks: DataFrame, with_code: bool = True) -> DataFrame:
+    """id, start, fn_name, code, code_doc: the really documented functions of the current method and type rows."""
+    f = attached(chunks, with_code)
+    texts = F.when(F.col("doc").isNotNull(), F.array("doc")).otherwise(F.array("comment", "docstring"))
+    f = f.select("id", "start", "fn_name", "code", F.transform(texts, lambda t: real_text(t, F.col("fn_name"))).alias("texts"))
+    return f.select("id", "start", "fn_name", "code", F.expr("array_join(filter(texts, t -> t is not null), '\n')").alias("code_doc")).where("code_doc <> ''")
 
 
 def pairs(chunks: DataFrame) -> DataFrame:
@@ -305,8 +319,7 @@ def pairs(chunks: DataFrame) -> DataFrame:
     two characters besides blanks; otherwise, and for members of types, the comment directly above or the docstring.
     Null code has no functions; rows without id are left out; rows that tie count once.
     """
-    g = _documented(chunks).groupBy("id", "start").agg(F.min(F.struct("fn_name", "code", "code_doc")).alias("p"))
-    return g.select("id", F.col("start").cast("bigint").alias("start"), "p.fn_name", "p.code", "p.code_doc")
+    return _documented(chunks).select("id", F.col("start").cast("bigint").alias("start"), "fn_name", "code", "code_doc")
 
 
 def _version() -> Column:
@@ -315,4 +328,4 @@ def _version() -> Column:
 
 
 def found(chunks: DataFrame) -> DataFrame:
-    return _documented(chunks).select("id", "fn_name").distinct()
+    return _documented(chunks, with_code=False).select("id", "fn_name").distinct()

@@ -103,3 +103,13 @@ def test_python_code_ends_before_the_next_comment(spark):
     one, two = f'def one(self):\n        """{REAL}"""\n        return 1\n        # inside', 'def two(self):\n        return """\n# text"""'
     code = f"class A:\n    {one}\n\n    # {REAL}\n    {two}\n\n# outside\nx = 1\n"
     assert pairs_of(spark, [("type", "python", code)]) == {(0, code.index(one)): ("one", one, REAL), (0, code.index(two)): ("two", two, REAL)}
+
+
+def test_statements_and_functions_end_a_comments_reach(spark):
+    other = "Adds both of these numbers and keeps the sign."
+    code = f"/** {REAL} */ int a() {{ }} int b() {{ }}\n// {other}\nint x;\nint c() {{ }}\n// {other}\n@Inject\n\nint d() {{\n  // {REAL}\n}}\nint e() {{ }}\n"
+    # rows that tie repeat every span
+    assert {k[1]: v[0] for k, v in pairs_of(spark, [("type", "java", code)]).items()} == {v: k for k, v in {"a": code.index("int a"), "d": code.index("@Inject") + 9}.items()}
+    day = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, day, "type", None, "java", code, "", "")] * 3, SCHEMA)
+    assert sorted(r.fn_name for r in C.pairs(df).collect()) == ["a", "d"]
