@@ -35,7 +35,8 @@ from codeloom.session import Scratch
 SPAN = 400
 PARAGRAPH = 200
 SHINGLE, STEP = 16, 4
-BLOCK = 16
+#: windows that are judged together
+BLOCK = 64
 #: paragraphs of this similarity collide with this probability at least
 SIMILARITY, RECALL, ROWS = 0.95, 0.99, 2
 #: Bloom filters have 16 bits an entry and at most 2**MAX_LOG_BITS bits (32 MB)
@@ -82,6 +83,7 @@ class Texts:
 
     def __init__(self, texts: list[str], span: int, size: int, bands: int):
         self.span, self.size, self.bands = span, size, bands
+        self.block = min(BLOCK, max(1, (span - size) // 3))
         self.length = np.array([len(t) for t in texts], np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64)
         self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -240,16 +242,16 @@ class SharedSpans:
                 for q, a, b in zip(pick[hit].tolist(), first[hit].tolist(), last[hit].tolist()):
                     d = int(np.searchsorted(t.first, q, "right") - 1)
                     lo, hi = int(t.first[d]), int(t.first[d] + t.length[d]) - span
-                    # offsets k * BLOCK .. k * BLOCK + BLOCK - 1 before the paragraph; at the ends of a text a block has fewer
-                    for k in range((q - b) // BLOCK, (q - a) // BLOCK + 1):
-                        x, y = max(lo, q - k * BLOCK - BLOCK + 1), min(hi, q - k * BLOCK)
+                    # offsets from k blocks on before the paragraph; at the ends of a text a block has fewer
+                    for k in range((q - b) // t.block, (q - a) // t.block + 1):
+                        x, y = max(lo, q - (k + 1) * t.block + 1), min(hi, q - k * t.block)
                         doc.append(d)
                         at.append(x)
                         n.append(y - x + 1)
                         whole.append(t.digest(x, y - x + span))
                         # of a block that is cut short the core would be too long: the one all such blocks have in common is taken
-                        z = q - k * BLOCK
-                        core.append(t.digest(z, span - BLOCK + 1))
+                        z = q - k * t.block
+                        core.append(t.digest(z, span - t.block + 1))
                 doc, at = np.array(doc, np.int64), np.array(at, np.int64)
                 yield pd.DataFrame({"doc_id": ids[doc], "at": at - t.first[doc] + seg_at[doc], "n": np.array(n, np.int32), "whole": whole, "core": core})
 
@@ -264,7 +266,7 @@ class SharedSpans:
 
         def places(batches):
             for b in batches:
-                yield pd.DataFrame({"k": _place(b["doc_id"].to_numpy(np.int64), b["at"].to_numpy(np.int64) * 32 + b["n"].to_numpy(np.int64)).view(np.int64)})
+                yield pd.DataFrame({"k": _place(b["doc_id"].to_numpy(np.int64), b["at"].to_numpy(np.int64) * 128 + b["n"].to_numpy(np.int64)).view(np.int64)})
 
         wanted = sc.broadcast((some_docs, bloom(blocks.select("doc_id", "at", "n").mapInPandas(places, "k bigint"), "k", count)))
 
@@ -277,13 +279,13 @@ class SharedSpans:
 
             for ids, seg_at, t in _batches(keep(batches), cls):
                 pick, first, last = t.picks()
-                k0, k1 = (pick - last) // BLOCK, (pick - first) // BLOCK
+                k0, k1 = (pick - last) // t.block, (pick - first) // t.block
                 each = np.repeat(np.arange(len(pick)), k1 - k0 + 1)
                 k = np.arange(len(each)) - np.repeat(np.cumsum(k1 - k0 + 1) - (k1 - k0 + 1), k1 - k0 + 1) + k0[each]
                 d = np.searchsorted(t.first, pick[each], "right") - 1
-                x = np.maximum(t.first[d], pick[each] - k * BLOCK - BLOCK + 1)
-                y = np.minimum(t.first[d] + t.length[d] - span, pick[each] - k * BLOCK)
-                hit = some_blocks.has(_place(ids[d], (x - t.first[d] + seg_at[d]) * 32 + y - x + 1))
+                x = np.maximum(t.first[d], pick[each] - (k + 1) * t.block + 1)
+                y = np.minimum(t.first[d] + t.length[d] - span, pick[each] - k * t.block)
+                hit = some_blocks.has(_place(ids[d], (x - t.first[d] + seg_at[d]) * 128 + y - x + 1))
                 d, x, n = d[hit], x[hit], (y - x + 1)[hit]
                 at = np.repeat(x, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 d = np.repeat(d, n)
