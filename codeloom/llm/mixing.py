@@ -1,9 +1,9 @@
 """Mixing sources to target shares of the total size in tokens.
 
-A text's membership in the sources is its label or, where it has none, the posterior of a naive Bayes
-classifier trained on labelled rows. A rate per text, between 0 and the source's cap, is found by projected
-gradient descent on the relative errors of the expected totals: each step is a scan that adds up
-one number per source. Rates become whole repeats by systematic rounding.
+A naive Bayes classifier, trained on labelled rows and calibrated on others, gives every text a posterior over the sources; a text's own label is one more,
+strong, piece of evidence. Rates between 0 and a cap are fitted by projected least squares, so that the expected token totals of the
+sources match their targets: each step is a scan that adds up the totals and the Gram matrix of the texts that are free to move. Rates become whole
+repeats by systematic rounding.
 """
 
 from __future__ import annotations
@@ -28,10 +28,14 @@ FIT_ROWS = 50_000
 FEATURES = 1 << 14
 STEPS = 30
 TOLERANCE = 1e-4
+#: how often a label is right; and the temperatures that calibration tries
+LABEL_TRUST = 0.999
+TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
+#: rounding is done again with corrected targets, at most so often, until no share is off by more than CLOSE of itself
+CORRECTIONS, CLOSE = 3, 0.005
 _SIZES = 1023
 _SLICES = 64
-# fixed value: the published pre-tokenisation pattern of the vocabulary, in the syntax of re
-_PIECES = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# fixed value: the published pre-tokenisation pattern of the vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE = re.compile(r"\s | \s")
 _CACHE = 400_000
@@ -82,179 +86,270 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"), F.lit(""))
 
 
-def sized(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, tokens, text_hash of every text; null texts and ids are left out, empty ones have 0 tokens."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = TokenCounter.get(tokenizer)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [n(t) for t in b["text"]], "text_hash": [xxhash.xxh3_128_digest(t.encode()) for t in b["text"]]})
-
-    rows = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, tokens bigint, text_hash binary")
-
-
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """One row per text, so that copies under other ids don't repeat it: the least id among the labelled ones, else among all."""
-    pick = F.min(F.struct(F.col("source").isNull().alias("none"), "doc_id", "source", "tokens")).alias("r")
-    return rows.groupBy("text_hash").agg(pick).select("r.doc_id", "r.source", "r.tokens").dropDuplicates(["doc_id"])
-
-
-def _features(text: str) -> np.ndarray:
-    return np.unique(np.fromiter((zlib.crc32(w.encode()) % FEATURES for w in re.findall(r"\w+", text.lower())), np.int64))
+def _features(text: str, cache: dict[str, int]) -> np.ndarray:
+    at = set()
+    for w in set(re.findall(r"\w+", text.lower())):
+        f = cache.get(w)
+        if f is None:
+            f = zlib.crc32(w.encode()) % FEATURES
+            if len(cache) < _CACHE:
+                cache[w] = f
+        at.add(f)
+    return np.fromiter(at, np.int64, len(at))
 
 
 class Classifier:
-    """Bernoulli-style naive Bayes on hashed words: which words a text has, not how often."""
+    """Bernoulli-style naive Bayes on hashed words: which words a text has, not how often. Text evidence is divided by a fitted temperature."""
 
-    def __init__(self, labels: list[str], counts: np.ndarray, rows: np.ndarray):
-        self.labels = labels
+    def __init__(self, labels: list[str], counts: np.ndarray, rows: np.ndarray, temperature: float = 1.0):
+        self.labels, self.temperature = labels, temperature
         # smoothed towards the rate over all labels, so that labels of few rows are not at a disadvantage
         p = np.clip((counts + 2 * counts.sum(axis=0) / rows.sum()) / (rows[:, None] + 2), 1e-6, 1 - 1e-6)
-        self.on, self.off = np.log(p) - np.log1p(-p), np.log1p(-p).sum(axis=1)
+        self.on, self.off = (np.log(p) - np.log1p(-p)).T.copy(), np.log1p(-p).sum(axis=1)
         self.prior = np.log(rows / rows.sum())
 
-    def posterior(self, text: str) -> np.ndarray:
-        s = self.prior + self.off + self.on[:, _features(text)].sum(axis=1)
+    def evidence(self, text: str, cache: dict[str, int]) -> np.ndarray:
+        return self.off + self.on[_features(text, cache)].sum(axis=0)
+
+    def posterior(self, text: str, label: str | None = None, cache: dict[str, int] | None = None) -> np.ndarray:
+        s = self.prior + self.evidence(text, {} if cache is None else cache) / self.temperature
+        if label in self.labels and len(self.labels) > 1:
+            own = np.arange(len(self.labels)) == self.labels.index(label)
+            s = s + np.where(own, math.log(LABEL_TRUST), math.log((1 - LABEL_TRUST) / (len(self.labels) - 1)))
         e = np.exp(s - s.max())
         return e / e.sum()
 
 
 def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Classifier:
-    """Word counts per label, added up on the executors: labels x FEATURES numbers reach the driver."""
+    """Word counts per label, added up on the executors: labels x FEATURES numbers reach the driver. A fifth of the rows is kept back, for the temperature of least log loss."""
     d = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text").where(F.col("source").isin(labels))
     # one row in m by the hash of its id, which needs no shuffle of the texts
     m = max(1, math.ceil(d.count() / fit_rows))
     d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[str, np.ndarray] = {}
+        total, cache = {}, {}
         for b in batches:
             for s, t in zip(b["source"], b["text"]):
                 c = total.setdefault(s, np.zeros(FEATURES + 1, np.int64))
-                c[_features(t)] += 1
+                c[_features(t, cache)] += 1
                 c[FEATURES] += 1
         for s, c in total.items():
             at = np.flatnonzero(c)
             yield pd.DataFrame({"source": s, "feature": at, "n": c[at]})
 
-    got = d.select("source", "text").mapInPandas(count, "source string, feature bigint, n bigint").groupBy("source", "feature").agg(F.sum("n").alias("n")).toPandas()
+    got = d.where(~held).select("source", "text").mapInPandas(count, "source string, feature bigint, n bigint").groupBy("source", "feature").agg(F.sum("n").alias("n")).toPandas()
     known = [x for x in labels if x in set(got["source"])]
+    if not known:
+        return Classifier(labels, np.zeros((len(labels), FEATURES)), np.ones(len(labels)))
     counts = np.zeros((len(known), FEATURES + 1))
     counts[got["source"].map({x: i for i, x in enumerate(known)}).to_numpy(np.int64), got["feature"].to_numpy(np.int64)] = got["n"]
-    return Classifier(known, counts[:, :FEATURES], counts[:, FEATURES]) if known else Classifier(labels, np.zeros((len(labels), FEATURES)), np.ones(len(labels)))
+    model = Classifier(known, counts[:, :FEATURES], counts[:, FEATURES])
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, cache, sums = shared.value, {}, np.zeros(len(TEMPERATURES))
+        for b in batches:
+            for s, t in zip(b["source"], b["text"]):
+                if s in m.labels:
+                    e = m.evidence(t, cache)
+                    for i, temperature in enumerate(TEMPERATURES):
+                        x = m.prior + e / temperature
+                        sums[i] += np.log(np.exp(x - x.max()).sum()) + x.max() - x[m.labels.index(s)]
+        yield pd.DataFrame({"t": TEMPERATURES, "loss": sums})
+
+    sums = d.where(held).select("source", "text").mapInPandas(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
+    if len(sums):
+        model.temperature = float(sums.sort_values(["loss", "t"])["t"].iloc[0])
+    return model
+
+
+def sized(documents: DataFrame, model: Classifier | None = None, labels: list[str] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """doc_id, source, tokens, text_hash, p of every text, in one scan; p are the posteriors over ``labels``. Null texts and ids are left out, empty ones have 0 tokens."""
+    shared = documents.sparkSession.sparkContext.broadcast((model, labels or []))  # labels x FEATURES numbers
+    name = _shipped(documents, tokenizer)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import SparkFiles
+
+        n, cache = TokenCounter.get(SparkFiles.get(name)), {}
+        m, labels = shared.value
+        at = [labels.index(x) for x in m.labels] if m else []
+        for b in batches:
+            p = np.zeros((len(b), len(labels)), np.float32)
+            if m:
+                for i, (text, source) in enumerate(zip(b["text"], b["source"])):
+                    p[i, at] = m.posterior(text, source, cache)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [n(t) for t in b["text"]], "text_hash": [xxhash.xxh3_128_digest(t.encode()) for t in b["text"]], "p": list(p)})
+
+    rows = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
+    return rows.mapInPandas(count, "doc_id bigint, source string, tokens bigint, text_hash binary, p array<float>")
+
+
+def _shipped(documents: DataFrame, tokenizer: str) -> str:
+    """The vocabulary file's name, after it has been sent to the executors, once a session."""
+    sc = documents.sparkSession.sparkContext
+    sent = sc.__dict__.setdefault("_codeloom_files", set())
+    if tokenizer not in sent:
+        sc.addFile(tokenizer)
+        sent.add(tokenizer)
+    return tokenizer.rsplit("/", 1)[-1]
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """One row per text, so that copies under other ids don't repeat it: the least id among the labelled ones, else among all."""
+    pick = F.min(F.struct(F.col("source").isNull().alias("none"), "doc_id", "source", "tokens", "p")).alias("r")
+    return rows.groupBy("text_hash").agg(pick).select("r.doc_id", "r.source", "r.tokens", "r.p").dropDuplicates(["doc_id"])
 
 
 def memberships(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, pd.DataFrame]:
-    """(doc_id, tokens, p) of the texts, p over the target sources, and the targets. Sources without a target get no share and are left out."""
+    """(doc_id, source, tokens, p) of the texts, p over the target sources, and the targets.
+
+    A text keeps its label; one without gets the likeliest source. Texts whose label has no target are left out: their share is 0.
+    """
     t = targets.where("source is not null and target_share > 0").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).orderBy("source").toPandas()  # one row a source
     t["cap"] = t["cap"].fillna(1).clip(lower=0)
     labels = list(t["source"])
-    texts = distinct_texts(sized(documents, tokenizer))
-    p = F.array(*[(F.col("source") == x).cast("double") for x in labels]).cast("array<double>")
-    hard = texts.where(F.col("source").isin(labels)).select("doc_id", "tokens", p.alias("p"))
     if not labels:
-        return hard.limit(0), t
-    model = documents.sparkSession.sparkContext.broadcast(fit(documents, labels, fit_rows))  # labels x FEATURES numbers
-
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        at = [labels.index(x) for x in m.labels]
-        for b in batches:
-            p = np.zeros((len(b), len(labels)))
-            for i, text in enumerate(b["text"]):
-                p[i, at] = m.posterior(text)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": b["tokens"], "p": list(p)})
-
-    blank = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & source_name(F.col("source")).isNull()).select("doc_id", "text").dropDuplicates(["doc_id"])
-    soft = texts.where("source is null").select("doc_id", "tokens").join(blank, "doc_id").mapInPandas(predict, "doc_id bigint, tokens bigint, p array<double>")
-    return hard.union(soft), t
+        return documents.select(F.col("doc_id"), "source", F.lit(0).cast("long").alias("tokens"), F.array().cast("array<float>").alias("p")).limit(0), t
+    texts = distinct_texts(sized(documents, fit(documents, labels, fit_rows), labels, tokenizer))
+    likely = F.get(F.array(*[F.lit(x) for x in labels]), F.array_position("p", F.array_max("p")).cast("int") - 1)
+    return texts.where(F.col("source").isNull() | F.col("source").isin(labels)).select("doc_id", F.coalesce("source", likely).alias("source"), "tokens", "p"), t
 
 
 def _matrix(b: pd.DataFrame, k: int) -> np.ndarray:
-    return np.array(b["p"].tolist(), float).reshape(len(b), k)
+    return (np.concatenate(b["p"].tolist()) if len(b) else np.zeros(0)).astype(float).reshape(len(b), k)
 
 
-def rates(members: DataFrame, t: pd.DataFrame, total_tokens: float | None = None, steps: int = STEPS) -> tuple[DataFrame, pd.DataFrame]:
-    """members with a rate each, and the targets with what they were aimed at.
+class Rates:
+    """Least squares for the rates of texts.
 
-    Without ``total_tokens`` the total is the largest that every source with texts can carry its share of. The error of a
-    source is relative to its target; a step moves a text by its sources' errors, and the rate is put back between 0 and its cap.
+    Of all rates in [0, cap] whose expected totals are nearest to the aims, those of least norm (weighted by tokens) have the form
+    clip(p . level): the gradient of a text is a mean of its sources' errors by membership, and the projection puts it back into the box. So one level per source is
+    all that passes between steps. A step divides the gradient by the Gram matrix of the texts strictly inside the box.
     """
-    k, caps = len(t), t["cap"].to_numpy(float)
 
-    def totals(rate) -> np.ndarray:
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            s = np.zeros(k)
-            for b in batches:
-                p = _matrix(b, k)
-                s += (b["tokens"].to_numpy(float) * rate(p)) @ p
-            yield pd.DataFrame({"k": range(k), "s": s})
-
-        got = members.mapInPandas(add, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).toPandas()
-        out = np.zeros(k)
-        out[got["k"].to_numpy(np.int64)] = got["s"]
-        return out
-
-    ceiling = lambda p: caps[p.argmax(axis=1)] if len(p) else np.zeros(0)
-    have = totals(lambda p: np.ones(len(p)))
-    most = totals(ceiling)
-    share = t["share"].to_numpy(float)
-    live = have > 0
-    total = total_tokens or (float((most[live] / share[live]).min()) if live.any() else 0.0)
-    aim = np.where(live, share * total, 0.0)
-    base = np.divide(aim, have, out=np.zeros(k), where=live)
-    history: list[np.ndarray] = []
-
-    def rate(p: np.ndarray) -> np.ndarray:
-        top = ceiling(p)
-        r = np.clip(p @ base, 0, top)
-        for g in history:
-            r = np.clip(r - p @ g, 0, top)
-        return r
-
-    for _ in range(steps):
-        error = np.divide(totals(rate) - aim, aim, out=np.zeros(k), where=aim > 0)
-        if np.abs(error).max(initial=0) < TOLERANCE:
-            break
-        history.append(0.8 * error * np.where(aim > 0, base, 0))
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            p = _matrix(b, k)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": b["tokens"], "source": p.argmax(axis=1) if len(b) else [], "rate": rate(p), "cap": ceiling(p)})
+    def __init__(self, members: DataFrame, t: pd.DataFrame):
+        self.members, self.k = members, len(t)
+        self.sources, self.caps = list(t["source"]), t["cap"].to_numpy(float)
+        self.share = t["share"].to_numpy(float)
 
-    names = F.array(*[F.lit(x) for x in t["source"]]) if k else F.array(F.lit(""))
-    out = members.mapInPandas(put, "doc_id bigint, tokens bigint, source int, rate double, cap double")
-    return out.withColumn("source", F.get(names, F.col("source"))), t.assign(aim=aim)
+    @property
+    def ceiling(self):
+        """A function from sources to their caps; it goes to the tasks without the tables."""
+        caps = dict(zip(self.sources, self.caps))
+        return lambda source: source.map(caps).to_numpy(float)
 
+    def scan(self, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Expected totals and the Gram matrix of the free texts, at these levels; without levels at the caps."""
+        k, ceiling = self.k, self.ceiling
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, pd.DataFrame]:
-    """(doc_id, source, tokens, repeats) of the chosen texts, and the targets.
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((k + 1, k))
+            for b in batches:
+                p, top, tokens = _matrix(b, k), ceiling(b["source"]), b["tokens"].to_numpy(float)
+                raw = p @ level if level is not None else top
+                sums[0] += (tokens * np.clip(raw, 0, top)) @ p
+                free = p[(raw > 0) & (raw < top)]
+                sums[1:] += (free * tokens[(raw > 0) & (raw < top), None]).T @ free
+            yield pd.DataFrame({"i": np.repeat(range(k + 1), k), "j": np.tile(range(k), k + 1), "s": sums.ravel()})
+
+        got = self.members.mapInPandas(add, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+        out = np.zeros((k + 1, k))
+        out[got["i"].to_numpy(np.int64), got["j"].to_numpy(np.int64)] = got["s"]
+        return out[0], out[1:]
+
+    def solve(self, aim: np.ndarray, level: np.ndarray | None = None, steps: int = STEPS) -> tuple[np.ndarray, float]:
+        """Levels for these totals, and the largest relative error that is left."""
+        scale = np.where(aim > 0, aim, 1.0)
+        level = np.where(aim > 0, self.caps / 2, 0.0) if level is None else level
+        best = None
+        for _ in range(steps):
+            totals, gram = self.scan(level)
+            error = np.where(aim > 0, (totals - aim) / scale, 0.0)
+            worst = float(np.abs(error).max(initial=0))
+            if best is None or worst < best[1]:
+                best = (level, worst)
+            if worst < TOLERANCE:
+                break
+            # in units of the aims, with a little weight on the diagonal where a source has no free text
+            g = gram / scale[:, None] / scale[None, :]
+            step = np.linalg.solve(g + max(1e-12, 1e-6 * np.abs(g).max()) * np.eye(self.k), error) / scale
+            level = level - np.clip(step, -self.caps / 2, self.caps / 2)
+        return best if best else (np.zeros(self.k), 0.0)
+
+
+def _rounded(members: DataFrame, rates: Rates, level: np.ndarray) -> DataFrame:
+    """doc_id, source, tokens, repeats: whole repeats by systematic rounding.
 
     Fractions are rounded along the texts of a source in an order by size and hash: the running sum of fractions passes a whole
     number where a text gets one more. The sum is taken in slices of the order, so a large source is no single task.
     """
-    kept = Scratch(documents.sparkSession, "mixing")
-    members, t = memberships(documents, targets, tokenizer)
-    r, t = rates(kept.put(members, "members"), t, total_tokens)
+    k, ceiling = rates.k, rates.ceiling
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            top = ceiling(b["source"])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": b["tokens"], "rate": np.clip(_matrix(b, k) @ level, 0, top), "cap": top})
+
+    r = members.mapInPandas(put, "doc_id bigint, source string, tokens bigint, rate double, cap double")
     r = r.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     # by size first, so that what is passed over is as long as what is chosen
     r = r.withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.least(F.floor(F.col("tokens") / 8), F.lit(_SIZES)) * _SLICES + F.pmod("h", F.lit(_SLICES)))
-    r = kept.put(r, "rates")
     per = r.groupBy("source", "slice").agg(F.sum("part").alias("sum"))
     per = per.withColumn("before", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    run = F.col("before") + F.sum("part").over(Window.partitionBy("source", "slice").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.col("before") + F.sum("part").over(Window.partitionBy("source", "slice").orderBy("tokens", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     r = r.join(per.drop("sum"), ["source", "slice"]).withColumn("run", run)
     one = F.floor(F.col("run") + 0.5) - F.floor(F.col("run") - F.col("part") + 0.5)
     r = r.withColumn("repeats", F.least(F.col("whole") + one, F.floor("cap")).cast("int"))
-    return r.where("repeats > 0").select("doc_id", "source", "tokens", "repeats"), t
+    return r.where("repeats > 0").select("doc_id", "source", "tokens", "repeats")
+
+
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> tuple[DataFrame, pd.DataFrame]:
+    """(doc_id, source, tokens, repeats) of the chosen texts, and the targets with the expected totals aimed at and the residual of the fit.
+
+    Without ``total_tokens`` the total is the largest that every source with texts can carry its share of. What rounding
+    to whole texts, and counting a text for one source, leave of a source's error is added to its aim and rounded again; the best of these roundings is taken.
+    """
+    kept = Scratch(documents.sparkSession, "mixing")
+    members, t = memberships(documents, targets, tokenizer)
+    members = kept.put(members, "members")
+    rates = Rates(members, t)
+    if not rates.k:
+        return members.select("doc_id", "source", "tokens", F.lit(0).alias("repeats")), t.assign(aim=[], residual=[])
+    most, _ = rates.scan(None)
+    # a source that no text belongs to can't have its share
+    live = most > 1e-3 * most.sum() * rates.share
+    total = total_tokens or (float((most[live] / rates.share[live]).min()) * 0.999 if live.any() else 0.0)
+    aim = np.where(live, rates.share * total, 0.0)
+    level, residual = rates.solve(aim)
+    wanted, best = aim, None
+    for turn in range(CORRECTIONS):
+        chosen = kept.put(_rounded(members, rates, level), f"chosen{turn}")
+        got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("n")).toPandas().set_index("source")["n"]
+        reached = np.array([float(got.get(s, 0.0)) for s in rates.sources])
+        parts = reached / max(1.0, reached.sum()), aim / max(1.0, aim.sum())
+        off = float(np.max(np.divide(np.abs(parts[0] - parts[1]), parts[1], out=np.zeros(rates.k), where=parts[1] > 0), initial=0))
+        if best is None or off < best[0]:
+            if best:
+                kept.drop(best[1])
+            best = (off, f"chosen{turn}", chosen)
+        else:
+            kept.drop(f"chosen{turn}")
+        if off <= CLOSE or turn + 1 == CORRECTIONS:
+            break
+        wanted = np.clip(wanted + np.where(live, aim - reached, 0.0), 0, np.where(live, most, 0.0))
+        level, _ = rates.solve(wanted, level, 4)
+    kept.drop("members")
+    return best[2], t.assign(aim=aim, residual=residual)
 
 
 def shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
-    """source, target_share, texts, mixed_tokens, reached_share of every target; a source without texts reaches 0."""
+    """source, target_share, texts, mixed_tokens, reached_share, deviation (from the target share, relative) and fit_residual of every target; a source without texts reaches 0."""
     chosen, t = mix(documents, targets, total_tokens, tokenizer)
     got = chosen.groupBy("source").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("tokens") * F.col("repeats")).alias("mixed_tokens"))
-    aims = documents.sparkSession.createDataFrame([(s, float(x)) for s, x in zip(t["source"], t["share"])], "source string, target_share double")
-    out = aims.join(F.broadcast(got), "source", "left").fillna(0, ["texts", "mixed_tokens"])  # one row a source
-    return out.withColumn("reached_share", F.col("mixed_tokens") / F.greatest(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(1)))
+    aims = documents.sparkSession.createDataFrame([(s, float(x), float(r)) for s, x, r in zip(t["source"], t["share"], t["residual"])], "source string, target_share double, fit_residual double")
+    out = got.join(F.broadcast(aims), "source", "right").fillna(0, ["texts", "mixed_tokens"])  # one row a source
+    out = out.withColumn("reached_share", F.col("mixed_tokens") / F.greatest(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(1)))
+    return out.select("source", "target_share", "texts", "mixed_tokens", "reached_share", (F.col("reached_share") / F.col("target_share") - 1).alias("deviation"), "fit_residual")
