@@ -1,11 +1,11 @@
 """Files that nobody wrote by hand: belief propagation over directory trees.
 
-Every file gets a score for each label from what its chunks show (notices, repeated
-shapes, dense text, code that other collections have too, names). Files and directories form a tree per collection.
-Messages go up from files to directories and down again, level by level, with a
+Every file shows some of a list of SIGNS (notices, repeated shapes, dense text, code that other collections have too, names). Files
+and directories form a tree per collection. Messages go up from files to directories and down again, level by level, with a
 compatibility between a directory's label and its children's, so what is known of
 parents and siblings reaches files that show little themselves. On trees this is
-exact: two passes give each file's posterior.
+exact: two passes give each file's posterior. What a sign says for a label, and how labels of directories and children go together, starts
+from rough odds and is then fitted to the expected counts of a first propagation, as in expectation maximisation.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.model import current, file_path
+from codeloom.operators.skew import heavy_keys, salted_join
 from codeloom.session import Scratch
 
 LABELS = ("handwritten", "generated", "minified", "vendored", "blob")
@@ -60,12 +61,24 @@ def chunk_evidence(chunks: DataFrame) -> DataFrame:
     return current(rows, [c for c in rows.columns if c not in ("id", "indexed_at")])
 
 
-def file_scores(evidence: DataFrame) -> DataFrame:
-    """collection, path and a log score s_<label> for each label."""
+#: rough log odds for a label of files that show a sign; the start of the fit
+SIGNS = {
+    "own": {"handwritten": 2.5}, "bare": {"handwritten": 1.0}, "hand": {"handwritten": 4.0},
+    "gen": {"generated": 9.0}, "alike": {"generated": 8.0}, "rows": {"generated": 8.0}, "gen_name": {"generated": 2.5},
+    "packed_code": {"minified": 8.0, "blob": 4.0}, "packed_data": {"blob": 8.0, "minified": 4.0}, "min_name": {"minified": 3.0},
+    "ven": {"vendored": 9.0}, "copies": {"vendored": 9.0}, "values": {"blob": 8.0},
+}
+#: what is fitted counts as the files or children that it comes from, the rough odds as so many
+SMOOTH_FILES, SMOOTH_CHILDREN = 20.0, 200.0
+
+
+def file_signs(evidence: DataFrame) -> DataFrame:
+    """collection, path and whether the file shows each of SIGNS."""
     e = evidence.where("path is not null and path <> ''").withColumn("collection", F.coalesce("collection", F.lit("")))
     # code that stands in several collections; a hot piece of code combines before the shuffle
     same = e.where("same is not null").groupBy("same").agg(F.min("collection").alias("a"), F.max("collection").alias("b")).where("a <> b").select("same", F.lit(1).alias("copied"))
-    copied = e.where("same is not null").select("collection", "path", "same").join(same, "same", "left")
+    copied = e.where("same is not null").select("collection", "path", "same")
+    copied = salted_join(copied, same, "same", heavy_keys(copied, "same"), "left")
     copied = copied.groupBy("collection", "path").agg(F.avg(F.coalesce("copied", F.lit(0))).alias("copied"))
     shapes = e.where("shape is not null").groupBy("collection", "path", "shape").agg(F.count(F.lit(1)).alias("n"))
     shapes = shapes.groupBy("collection", "path").agg(F.sum("n").alias("methods"), F.count(F.lit(1)).alias("shapes"))
@@ -74,26 +87,46 @@ def file_scores(evidence: DataFrame) -> DataFrame:
         F.max("says_generated").alias("gen"), F.max("says_vendored").alias("ven"), F.max("says_hand").alias("hand"), F.sum((F.col("kind") == "method").cast("int")).alias("n_methods"), F.sum(F.col("kind").isin("method", "method_part", "type").cast("int")).alias("n_code"),
     )
     f = f.join(shapes, ["collection", "path"], "left").join(copied, ["collection", "path"], "left")
-    has = lambda c, yes, no=0.0: F.when(F.col(c) if isinstance(c, str) else c, F.lit(float(yes))).otherwise(F.lit(float(no)))
-    blanks = 1 - F.col("inked") / F.greatest("chars", F.lit(1))
-    packed = (F.col("chars") >= 150) & (blanks < 0.075)
-    alike = (F.col("methods") >= 4) & (F.col("shapes") < 0.5 * F.col("methods"))
-    rows = (F.col("lines") >= 12) & (F.col("repeats") > 0.6 * F.col("lines")) & (F.col("n_methods") > 0)
-    copies = F.coalesce(F.col("copied"), F.lit(0.0)) >= 0.5
-    table_like = (F.col("lines") >= 4) & (F.col("values") > 0.6 * F.col("lines")) & (F.col("n_code") == 0)
+    packed = (F.col("chars") >= 150) & (1 - F.col("inked") / F.greatest("chars", F.lit(1)) < 0.075)
     code_like = F.col("path").rlike(r"\.(?:js|mjs|cjs|css|ts)$") | (F.col("n_methods") > 0)
-    own = ~alike & ~rows & ~packed & ~copies & ~table_like
-    return f.select(
-        "collection", "path",
-        (has(own, 2.5) + has("hand", 4)).alias("s_handwritten"),
-        (has(F.col("gen") & ~F.col("hand"), 9) + has(alike, 8) + has(rows, 8) + has(F.col("path").rlike(GENERATED_NAME), 2.5)).alias("s_generated"),
-        (has(packed & code_like, 8) + has(packed & ~code_like, 4) + has(F.col("path").rlike(MINIFIED_NAME), 3)).alias("s_minified"),
-        (has(F.col("ven") & ~F.col("hand"), 9) + has(copies, 9)).alias("s_vendored"),
-        (has(packed & ~code_like, 8) + has(packed & code_like, 4) + has(table_like, 8)).alias("s_blob"),
-    )
+    signs = {
+        "hand": F.col("hand"), "gen": F.col("gen") & ~F.col("hand"), "alike": (F.col("methods") >= 4) & (F.col("shapes") < 0.5 * F.col("methods")),
+        "rows": (F.col("lines") >= 12) & (F.col("repeats") > 0.6 * F.col("lines")) & (F.col("n_methods") > 0), "gen_name": F.col("path").rlike(GENERATED_NAME),
+        "packed_code": packed & code_like, "packed_data": packed & ~code_like, "min_name": F.col("path").rlike(MINIFIED_NAME), "ven": F.col("ven") & ~F.col("hand"),
+        "copies": F.coalesce(F.col("copied"), F.lit(0.0)) >= 0.5, "values": (F.col("lines") >= 4) & (F.col("values") > 0.6 * F.col("lines")) & (F.col("n_code") == 0),
+    }
+    f = f.select("collection", "path", (F.col("lines") > 0).alias("has_body"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in signs.items()])
+    # a file that has a body and nothing odd about it; one without says little of its own
+    own = F.col("has_body") & ~(F.col("alike") | F.col("rows") | F.col("packed_code") | F.col("packed_data") | F.col("copies") | F.col("values"))
+    return f.select("collection", "path", *[{"own": own, "bare": ~F.col("has_body")}.get(n, F.col(n)).alias(n) for n in SIGNS])
+
 
+def scored(signs: DataFrame, odds: dict[str, dict[str, float]]) -> DataFrame:
+    """collection, path and a log score s_<label> for each label: what the signs that a file shows add up to."""
+    score = lambda x: sum((F.when(F.col(n), float(odds[n].get(x, 0.0))).otherwise(0.0) for n in SIGNS), F.lit(0.0))
+    return signs.select("collection", "path", *[score(x).alias(f"s_{x}") for x in LABELS])
 
-#: log compatibility of a directory's label (row) with its child's (column). What people write and what they
+
+def fitted_signs(signs: DataFrame, beliefs: DataFrame) -> dict[str, dict[str, float]]:
+    """Log odds of a sign under each label against the overall rate, from the expected counts: (signs + 1) x labels numbers reach the driver.
+
+    A sign that few files show keeps more of its rough odds. Only shown signs count, because many exclude each other.
+    """
+    b = signs.join(beliefs, ["collection", "path"])
+    sums = [F.sum(F.when(F.col(n), F.col(f"p_{x}")).otherwise(0.0)).alias(f"{n}_{x}") for n in SIGNS for x in LABELS]
+    row = b.agg(*[F.sum(f"p_{x}").alias(f"n_{x}") for x in LABELS], *sums).first()
+    total = sum(row[f"n_{x}"] or 0.0 for x in LABELS)
+    out = {}
+    for n in SIGNS:
+        shown = sum(row[f"{n}_{x}"] or 0.0 for x in LABELS)
+        rate = shown / total if shown else 1.0
+        # half a file at the overall rate keeps the logarithms finite
+        fit = {x: math.log(((row[f"{n}_{x}"] or 0.0) + 0.5 * rate) / ((row[f"n_{x}"] or 0.0) + 0.5) / rate) for x in LABELS}
+        out[n] = {x: (shown * fit[x] + SMOOTH_FILES * SIGNS[n].get(x, 0.0)) / (shown + SMOOTH_FILES) for x in LABELS}
+    return out
+
+
+#: rough compatibility of a directory's label (row) with its child's (column), the start of the fit. What people write and what they
 #: generate or pack lie side by side; a directory of copies holds copies.
 _P = {
     "handwritten": (0.86, 0.05, 0.035, 0.02, 0.035),
@@ -102,7 +135,6 @@ _P = {
     "vendored": (0.02, 0.01, 0.02, 0.94, 0.01),
     "blob": (0.25, 0.05, 0.05, 0.05, 0.60),
 }
-_DIR_PRIOR = (0.0, 0.0, 0.0, 0.0, 0.0)
 _DIR_NAMED = 9.0
 
 
@@ -115,54 +147,98 @@ def _lse(xs: list[Column]) -> Column:
     return m + F.log(sum((F.exp(x - m) for x in xs[1:]), F.exp(xs[0] - m)))
 
 
-def _to_parent(score: list[Column]) -> list[Column]:
+def _to_parent(score: list[Column], odds: dict) -> list[Column]:
     """The message of a child: for each label of the directory, over the child's labels."""
-    return [_lse([s + math.log(p) for s, p in zip(score, _P[d])]).alias(f"m_{d}") for d in LABELS]
-
-
-def _to_child(score: list[Column]) -> list[Column]:
-    return [_lse([s + math.log(_P[d][i]) for s, d in zip(score, LABELS)]).alias(f"d_{c}") for i, c in enumerate(LABELS)]
-
-
-def propagate(files: DataFrame) -> DataFrame:
-    """collection, path, label, confidence of each file, by sum-product over its collection's directory tree."""
-    kept = Scratch(files.sparkSession, "provenance")
-    parts = F.split("path", "/")
-    f = kept.put(files.withColumn("depth", F.size(parts)).withColumn("parent", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")), "files")
-    deepest = f.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return f.select("collection", "path", F.lit("").alias("label"), F.lit(0.0).alias("confidence"))
-    sums = [F.sum(c).alias(c) for c in (f"m_{x}" for x in LABELS)]
-    ups: dict[int, DataFrame] = {}
-    below = None
-    for level in range(deepest, 0, -1):  # nodes with `level` segments report to their directories; one sum per directory
-        msgs = f.where(F.col("depth") == level).select("collection", "parent", *_to_parent(_vec("s")))
-        if below is not None:
-            msgs = msgs.union(below.select("collection", "parent", *_to_parent(_vec("s"))))
-        got = msgs.groupBy("collection", F.col("parent").alias("path")).agg(*sums)
-        named = F.element_at(F.split("path", "/"), -1).rlike(VENDORED_DIR)
-        prior = [F.lit(p) + (F.when(named, _DIR_NAMED).otherwise(0.0) if x == "vendored" else F.lit(0.0)) for x, p in zip(LABELS, _DIR_PRIOR)]
-        up = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-        below = kept.put(got.select("collection", "path", up.alias("parent"), *[(F.col(f"m_{x}") + p).alias(f"s_{x}") for x, p in zip(LABELS, prior)]), f"up{level - 1}")
-        ups[level - 1] = below
-    # down: what a child hears is its directory's belief without the child's own message
-    down = ups[0].select("collection", F.col("path").alias("parent"), *[F.col(f"s_{x}").alias(f"b_{x}") for x in LABELS])
-    out = []
-    for level in range(1, deepest + 1):
-        nodes = f.where(F.col("depth") == level).select("collection", "path", "parent", F.lit(True).alias("is_file"), *_vec("s"))
-        if level in ups:
-            nodes = nodes.union(ups[level].select("collection", "path", "parent", F.lit(False).alias("is_file"), *_vec("s")))
-        n = nodes.join(down, ["collection", "parent"]).select("*", *_to_parent(_vec("s")))
-        n = n.select("collection", "path", "is_file", *_vec("s"), *_to_child([F.col(f"b_{x}") - F.col(f"m_{x}") for x in LABELS]))
-        n = kept.put(n.select("collection", "path", "is_file", *[(F.col(f"s_{x}") + F.col(f"d_{x}")).alias(f"b_{x}") for x in LABELS]), f"down{level}")
-        out.append(n.where("is_file").drop("is_file"))
-        down = n.where("not is_file").select("collection", F.col("path").alias("parent"), *_vec("b"))
-    b = out[0]
-    for x in out[1:]:
-        b = b.union(x)
-    best = F.greatest(*_vec("b"))
-    label = F.coalesce(*[F.when(F.col(f"b_{x}") == best, F.lit(x)) for x in LABELS])
-    return b.select("collection", "path", label.alias("label"), F.round(F.exp(best - _lse(_vec("b"))), 6).alias("confidence"))
+    return [_lse([s + math.log(p) for s, p in zip(score, odds[d])]).alias(f"m_{d}") for d in LABELS]
+
+
+def _to_child(score: list[Column], odds: dict) -> list[Column]:
+    return [_lse([s + math.log(odds[d][i]) for s, d in zip(score, LABELS)]).alias(f"d_{c}") for i, c in enumerate(LABELS)]
+
+
+class Propagation:
+    """Sum-product over the directory trees of the collections, for files (collection, path, s_<label>).
+
+    ``beliefs`` has collection, path and p_<label> of each file; ``pairs`` the expected number of children with each label under directories with each
+    label, 25 numbers.
+    """
+
+    def __init__(self, files: DataFrame, kept: Scratch, odds: dict | None = None, name: str = "run"):
+        odds = odds or _P
+        parts = F.split("path", "/")
+        key = lambda c: F.concat("collection", F.lit("\x01"), c).alias("key")
+        f = files.withColumn("depth", F.size(parts)).withColumn("parent", F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"))
+        f = kept.put(f.select("collection", "path", "parent", "depth", *_vec("s"), key("parent").alias("dir")), f"{name}-files")
+        self.pairs = {d: [0.0] * len(LABELS) for d in LABELS}
+        deepest = f.agg(F.max("depth")).first()[0]
+        if deepest is None:
+            self.beliefs = f.select("collection", "path", *[F.lit(0.0).alias(f"p_{x}") for x in LABELS])
+            return
+        crowded = heavy_keys(f, "dir")  # directories with a large part of all files
+        sums = [F.sum(c).alias(c) for c in (f"m_{x}" for x in LABELS)]
+        ups: dict[int, DataFrame] = {}
+        below = None
+        for level in range(deepest, 0, -1):  # nodes with `level` segments report to their directories; one sum per directory
+            msgs = f.where(F.col("depth") == level).select("collection", "parent", *_to_parent(_vec("s"), odds))
+            if below is not None:
+                msgs = msgs.union(below.select("collection", "parent", *_to_parent(_vec("s"), odds)))
+            got = msgs.groupBy("collection", F.col("parent").alias("path")).agg(*sums)
+            named = F.element_at(F.split("path", "/"), -1).rlike(VENDORED_DIR)
+            prior = lambda x: F.when(named, _DIR_NAMED).otherwise(0.0) if x == "vendored" else F.lit(0.0)
+            up = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
+            below = kept.put(got.select("collection", "path", up.alias("parent"), *[(F.col(f"m_{x}") + prior(x)).alias(f"s_{x}") for x in LABELS]), f"{name}-up{level - 1}")
+            ups[level - 1] = below
+        # down: what a child hears is its directory's belief without the child's own message
+        down = ups[0].select(key("path").alias("dir"), *[F.col(f"s_{x}").alias(f"b_{x}") for x in LABELS])
+        done = []
+        for level in range(1, deepest + 1):
+            nodes = f.where(F.col("depth") == level).select("collection", "path", "dir", F.lit(True).alias("is_file"), *_vec("s"))
+            if level in ups:
+                nodes = nodes.union(ups[level].select("collection", "path", key("parent").alias("dir"), F.lit(False).alias("is_file"), *_vec("s")))
+            n = salted_join(nodes, down, "dir", crowded).select("*", *_to_parent(_vec("s"), odds))
+            n = n.select("collection", "path", "is_file", *_vec("s"), *[(F.col(f"b_{x}") - F.col(f"m_{x}")).alias(f"o_{x}") for x in LABELS])
+            n = n.select("*", *_to_child(_vec("o"), odds))
+            n = kept.put(n.select("collection", "path", "is_file", *_vec("s"), *_vec("o"), *[(F.col(f"s_{x}") + F.col(f"d_{x}")).alias(f"b_{x}") for x in LABELS]), f"{name}-down{level}")
+            self._count(n, odds)
+            done.append(n.where("is_file"))
+            down = n.where("not is_file").select(key("path").alias("dir"), *_vec("b"))
+        b = done[0]
+        for x in done[1:]:
+            b = b.union(x)
+        whole = _lse(_vec("b"))
+        self.beliefs = kept.put(b.select("collection", "path", *[F.exp(F.col(f"b_{x}") - whole).alias(f"p_{x}") for x in LABELS]), f"{name}-beliefs")
+        kept.drop(*[f"{name}-{x}" for x in ("files", *[f"up{i}" for i in ups], *[f"down{i}" for i in range(1, deepest + 1)])])
+
+    def _count(self, n: DataFrame, odds: dict) -> None:
+        pair = {(d, c): F.col(f"o_{d}") + math.log(odds[d][i]) + F.col(f"s_{c}") for d in LABELS for i, c in enumerate(LABELS)}
+        whole = _lse(list(pair.values()))
+        row = n.withColumn("whole", whole).agg(*[F.sum(F.exp(x - F.col("whole"))).alias(f"{d}_{c}") for (d, c), x in pair.items()]).first()
+        for d in LABELS:
+            self.pairs[d] = [a + (row[f"{d}_{c}"] or 0.0) for a, c in zip(self.pairs[d], LABELS)]
+
+    def fitted_odds(self) -> dict:
+        """Compatibilities from the expected pairs, smoothed towards the rough ones."""
+        out = {}
+        for d in LABELS:
+            n = [a + SMOOTH_CHILDREN * p for a, p in zip(self.pairs[d], _P[d])]
+            out[d] = tuple(max(1e-4, x / sum(n)) for x in n)
+        return out
+
+
+def propagate(signs: DataFrame, fit: bool = True) -> DataFrame:
+    """collection, path, label, confidence (that it is handwritten, or that it isn't) of each file, from its signs and its surroundings; ``fit`` fits signs and compatibilities on a first propagation."""
+    kept = Scratch(signs.sparkSession, "provenance")
+    signs = kept.put(signs, "signs")
+    run = Propagation(scored(signs, SIGNS), kept, name="rough")
+    if fit:
+        run = Propagation(scored(signs, fitted_signs(signs, run.beliefs)), kept, run.fitted_odds(), name="fitted")
+        kept.drop("rough-beliefs")
+    kept.drop("signs")
+    # handwritten or not is decided first, then what else it is
+    best = F.greatest(*_vec("p")[1:])
+    hand = F.col(f"p_{LABELS[0]}") >= 0.5
+    label = F.when(hand, LABELS[0]).otherwise(F.coalesce(*[F.when(F.col(f"p_{x}") == best, F.lit(x)) for x in LABELS[1:]]))
+    return run.beliefs.select("collection", "path", label.alias("label"), F.round(F.when(hand, F.col(f"p_{LABELS[0]}")).otherwise(1 - F.col(f"p_{LABELS[0]}")), 6).alias("confidence"))
 
 
 def kept_out(requests: DataFrame) -> DataFrame:
@@ -185,7 +261,7 @@ def labels(chunks: DataFrame, requests: DataFrame) -> DataFrame:
     A file is what the current chunks of one collection and path make up; chunks without id or path belong to none, a null collection counts as ''.
     Empty code shows nothing and leaves a file handwritten unless its surroundings say otherwise.
     """
-    got = propagate(file_scores(chunk_evidence(chunks)))
+    got = propagate(file_signs(chunk_evidence(chunks)))
     rules = kept_out(requests).groupBy("collection").agg(F.collect_set("folder").alias("folders"))  # a few per request
     got = got.join(rules, "collection", "left").withColumn("top", F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)))
     out = F.coalesce(F.exists("folders", lambda p: F.regexp_like(F.col("top"), p)), F.lit(False))

@@ -69,22 +69,52 @@ def test_globs(spark):
     assert got == {"^a$", "^b$", "^c$", "^v[^/]*d$"}
 
 
-def test_siblings_move_a_file_and_messages_equal_enumeration(spark):
-    """The belief of each file against the sum over all labellings of a small tree."""
+def test_messages_equal_enumeration(spark):
+    """The beliefs, and the expected pairs, against the sum over all labellings of a small tree."""
     import itertools
     import math
 
+    from codeloom.session import Scratch
+
     scores = {"a/x": (2.0, 0, 0, 0, 0), "a/y": (0, 0, 0, 5.0, 0), "b": (0, 3.0, 0, 0, 0)}
     df = spark.createDataFrame([("c", p, *map(float, s)) for p, s in scores.items()], "collection string, path string, " + ", ".join(f"s_{x} double" for x in V.LABELS))
-    got = {r.path: (r.label, r.confidence) for r in V.propagate(df).collect()}
-    total, mass = 0.0, {}
+    run = V.Propagation(df, Scratch(spark, "test"))
+    got = {r.path: [r[f"p_{x}"] for x in V.LABELS] for r in run.beliefs.collect()}
+    total, mass, pairs = 0.0, {}, {}
     for root, a, x, y, b in itertools.product(range(5), repeat=5):
         p = lambda u, v: V._P[V.LABELS[u]][v]
-        w = math.exp(V._DIR_PRIOR[root] + V._DIR_PRIOR[a] + scores["a/x"][x] + scores["a/y"][y] + scores["b"][b]) * p(root, a) * p(a, x) * p(a, y) * p(root, b)
+        w = math.exp(scores["a/x"][x] + scores["a/y"][y] + scores["b"][b]) * p(root, a) * p(a, x) * p(a, y) * p(root, b)
         total += w
         for path, v in (("a/x", x), ("a/y", y), ("b", b)):
             mass[path, v] = mass.get((path, v), 0.0) + w
-    for path, (label, conf) in got.items():
-        best = max(range(5), key=lambda v: mass[path, v])
-        assert label == V.LABELS[best]
-        assert abs(conf - mass[path, best] / total) < 1e-5
+        for u, v in ((root, a), (root, b), (a, x), (a, y)):
+            pairs[u, v] = pairs.get((u, v), 0.0) + w
+    for path, p in got.items():
+        assert all(abs(q - mass[path, v] / total) < 1e-6 for v, q in enumerate(p))
+    assert all(abs(run.pairs[V.LABELS[u]][v] - n / total) < 1e-6 for (u, v), n in pairs.items())
+    assert all(abs(sum(o) - 1) < 1e-3 for o in run.fitted_odds().values())
+
+
+def test_surroundings_decide_where_a_file_shows_little(spark):
+    """Without the propagation, and in other company, the same files would be labelled otherwise; no folder has a telling name."""
+    from codeloom.session import Scratch
+
+    stub = lambda k: [("method", f"func Get{k}x{i}() int {{\n return m.f[{i}]\n}}") for i in range(9)]
+    silent = [("unithead", "unit z;")]
+    files = [("c", f"alpha/f{k}.go", stub(k)) for k in range(8)] + [("c", f"beta/g{k}.pas", own(3, 10 + k)) for k in range(8)] + [("c", "alpha/silent.go", silent), ("c", "beta/silent.go", silent)]
+    signs = V.file_signs(V.chunk_evidence(chunks(spark, files)))
+    alone = V.scored(signs, V.SIGNS).where("path like '%silent%'")
+    assert {tuple(r[f"s_{x}"] for x in V.LABELS) for r in alone.collect()} == {(1.0, 0.0, 0.0, 0.0, 0.0)}  # hardly anything of their own
+    got = {r.path: r.label for r in V.propagate(signs).collect()}
+    assert got["alpha/silent.go"] == "generated" and got["beta/silent.go"] == "handwritten"
+    apart = V.Propagation(V.scored(signs, V.SIGNS).withColumn("path", V.F.regexp_replace("path", "/", "-")).where("path not like 'alpha-f%'"), Scratch(spark, "test"))
+    assert {r.path: max(V.LABELS, key=lambda x: r[f"p_{x}"]) for r in apart.beliefs.collect()}["alpha-silent.go"] == "handwritten"
+
+
+def test_fit_learns_what_a_sign_says(spark):
+    from codeloom.session import Scratch
+
+    signs = V.file_signs(V.chunk_evidence(chunks(spark, FILES)))
+    run = V.Propagation(V.scored(signs, V.SIGNS), Scratch(spark, "test"))
+    w = V.fitted_signs(signs, run.beliefs)
+    assert w["alike"]["generated"] > w["alike"]["handwritten"] + 2 and w["copies"]["vendored"] > w["copies"]["handwritten"] + 2
