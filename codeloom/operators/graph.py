@@ -16,8 +16,17 @@ CANDIDATES = 8
 CALLERS = 16
 
 # fixed values: words before a parenthesis that are no calls, and names too common to link
-KEYWORDS = ["if", "for", "while", "switch", "case", "return", "catch", "and", "or", "not", "in", "of", "do", "else", "elif", "function", "procedure", "constructor", "destructor", "def", "func", "fn", "class", "new", "sizeof", "until", "then", "begin", "end", "repeat", "with", "except", "raise", "lambda", "match"]
-COMMON = ["create", "free", "destroy", "execute", "add", "clear", "assign", "open", "close", "read", "write", "get", "set", "init", "start", "stop", "run", "update", "delete", "insert", "load", "save", "next", "first", "last", "count", "exists", "format", "copy", "length", "inc", "dec", "exit", "print", "len", "str", "int", "range", "append", "main"]
+KEYWORDS = """
+begin end if then else while do for to downto case of repeat until try except finally var const type class record procedure function constructor destructor
+property array set packed object interface implementation uses unit program library inherited nil result true false and or not xor div mod shl shr in is
+as with goto label exports threadvar resourcestring out override virtual overload reintroduce message dynamic abstract sealed final published private
+protected public strict deprecated experimental platform unsafe
+""".split()
+COMMON = """
+length setlength copy free create add delete insert remove clear exit inc dec trim uppercase lowercase inttostr strtoint strtofloat floattostr assigned
+freeandnil format pos new dispose getmem freemem write writeln read readln move fillchar comparestr sametext contains indexof tostring getenumerator
+first last count value name text execute open close destroy release update
+""".split()
 
 
 def called_names(code: Column, own: Column, capped: bool = False) -> Column:

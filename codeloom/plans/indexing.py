@@ -137,6 +137,14 @@ def extract_imports(spark, d):
     return c.select("id", F.array_join(F.slice(names, 1, 60), ",").alias("imports"), F.size(names).cast("bigint").alias("n"))
 
 
+def extract_imports_whole(spark, d):
+    """Imports of the heads of all languages, read from their text; the twin takes the list that the table has."""
+    from codeloom.sources.chunker import imports
+
+    c = cur(spark, d, ["kind", "lang", "code"]).where("kind = 'unithead'")
+    return c.select("id", F.array_join(imports(F.col("code"), F.col("lang")), ",").alias("imports"))
+
+
 def huge_chunks(spark, d):
     c = cur(spark, d, ["kind", "code"])
     lines = F.regexp_count("code", F.lit("\n"))
@@ -167,10 +175,10 @@ def rechunk_units(spark, d):
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
     lang = c.groupBy("collection", "unit").agg(F.min(F.coalesce("lang", F.lit("pascal"))).alias("lang"))
     files = read_unit(c, cap=None).join(lang, ["collection", "unit"]).select(F.concat_ws("/", "collection", "unit").alias("unit"), "lang", "content")
-    return chunk_files(files, "again").drop("code", "extends_list")
+    return chunk_files(files, "again").drop("code", "extends_list", "uses_list")
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, extract_imports_whole, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
 
 _STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
 r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
@@ -210,6 +218,7 @@ SELECT path, op, seq FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER B
     "extract_calls_whole": f"WITH {CUR}, c AS (SELECT id, {_CALLS_WHOLE} AS l FROM cur WHERE kind = 'method') SELECT id, array_to_string({_FIRST_WHOLE.format('l')}, ',') AS calls FROM c",
     "extract_imports": rf"""WITH {CUR}, c AS (SELECT id, string_split(regexp_extract(regexp_replace(code, '//[^\r\n]*|\{{[^}}]*\}}|\(\*[^*]*\*\)', ' ', 'g'), '(?is)\buses\b([^;]*)', 1), ',') AS l FROM cur WHERE kind = 'unithead' AND lang IS NULL),
 n AS (SELECT id, list_filter(list_transform(l, lambda x: regexp_extract(x, '([A-Za-z_][\w.]*)', 1)), lambda x: x <> '') AS n FROM c) SELECT id, array_to_string(n[1:60], ',') AS imports, len(n) AS n FROM n""",
+    "extract_imports_whole": f"WITH {CUR} SELECT id, coalesce(array_to_string(uses_list, ','), '') AS imports FROM cur WHERE kind = 'unithead'",
     "huge_chunks": f"WITH {CUR}, c AS (SELECT id, kind, (length(code) - length(replace(code, chr(10), '')))::BIGINT AS lines FROM cur) SELECT *, ceil((lines + 1) / 400)::BIGINT AS n_parts FROM c WHERE lines > 400",
     "safe_paths": r"""WITH u AS (SELECT DISTINCT collection, unit, replace(unit, '\', '/') AS p FROM chunks)
 SELECT collection, unit, coalesce(regexp_full_match(collection, '[A-Za-z0-9_.\-]{1,64}') AND collection NOT IN ('.', '..') AND p <> '' AND p NOT LIKE '%:%' AND p NOT LIKE '/%' AND NOT list_contains(string_split(p, '/'), '..'), false) AS safe, false AS escaped FROM u""",

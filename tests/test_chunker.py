@@ -61,9 +61,31 @@ def test_huge_code_is_cut_and_its_parts_lose_nothing(spark):
 
 
 def test_parents_by_language(spark):
-    rows = [("pascal", "TA = class(TBase, IOne)"), ("csharp", "public class A : Base<T>, IOne\n{"), ("java", "class A extends x.Base implements I {"), ("cpp", "class A final : public B, virtual C {"), ("rust", "impl Drainer for X {"), ("go", "type A struct {"), ("javascript", "class A extends B {")]
+    rows = [("pascal", "TA = class(TBase, IOne)"), ("csharp", "public class A : Base<T>, IOne\n{"), ("java", "class A extends x.Base implements I {"), ("cpp", "class A final : public B, virtual C {"), ("rust", "impl Drainer for X {"), ("go", "type A struct {"), ("javascript", "class A extends B {"), ("java", "// Doc.\nclass A<T extends Q> implements I<X>, y.J {\n  int f() {"), ("python", "class A:\n    def go(self): pass"), ("pascal", "TA = class\n  procedure Run(a: X);"), ("csharp", "class A<T> : a.B, C where T : D {"), ("rust", "impl<T> fmt::Display for X<T> {"), ("rust", "struct S {")]
     got = [r[0] for r in spark.createDataFrame(rows, "lang string, code string").select(parents(F.col("code"), F.col("lang"))).collect()]
-    assert got == [["TBase", "IOne"], ["Base", "IOne"], ["Base"], ["B", "C"], ["Drainer"], [], ["B"]]
+    assert got == [["TBase", "IOne"], ["Base", "IOne"], ["Base", "I"], ["B", "C"], ["Drainer"], [], ["B"], ["I", "J"], [], [], ["B", "C"], ["Display"], []]
+
+
+def test_imports_by_language(spark):
+    from codeloom.sources.chunker import imports
+
+    rows = [
+        (None, "unit A;\ninterface\nuses\n  B, C.D in 'd.pas', // X,\n  E;\nimplementation\nuses F, B;"), ("python", "import os.path\nfrom a.b import c\nx = 1\nimport os"), ("javascript", "import {a} from 'm';\nimport {\n  b\n} from \"n\";\nconst c = require('o');"),
+        ("typescript", "import 'side';"), ("java", "import static a.b.C;\nimport d.E;\nclass X {}"), ("c", '#include <stdio.h>\n# include "x.h"'), ("cpp", '#include "y.hpp"'), ("csharp", "using System;\nglobal using static A.B;\nusing (var x = y) {}"),
+        ("go", 'import "fmt"\nimport (\n  "os"\n  f "path/file"\n)\nx := "no"'), ("rust", "use std::fmt;\nuse a;"), ("rust", "// r.rs\nrust imports:\n  P\n  Q"), ("python", None),
+    ]
+    got = [r[0] for r in spark.createDataFrame(rows, "lang string, code string").select(imports(F.col("code"), F.col("lang"))).collect()]
+    assert got == [["B", "C.D", "E", "F"], ["os", "a"], ["m", "n", "o"], ["side"], ["a.b.C", "d.E"], ["stdio.h", "x.h"], ["y.hpp"], ["System", "A.B"], ["fmt", "os", "path/file"], ["std", "a"], ["P", "Q"], []]
+
+
+def test_docs_imports_and_parents_of_parts(spark):
+    doc = '@cached\ndef run(a):\n    """Runs it   twice."""\n    return os.path.join(a, "x")\n'
+    got = {(r.kind, r.name): r for r in chunks(spark, ("src/Foo.pas", None, PAS), ("b.py", "python", "import os\n\n" + doc)).collect()}
+    assert got["method", "TFoo.Open"].doc == "Opens the gate and waits for it." and got["method", "run"].doc == "Runs it twice."
+    assert got["unithead", "Foo"].uses_list == ["Bar"] and got["unithead", "b"].uses_list == ["os"] and got["method", "run"].uses_list is None
+    big = chunks(spark, ("Big.pas", "pascal", "unit Big;\nprocedure Big;\nbegin\n" + "  Step(x);\n" * 900 + "end;")).collect()
+    (whole,) = [r for r in big if r.kind == "method"]
+    assert {r.parent_id for r in big if r.kind == "method_part"} == {whole.id} and whole.parent_id is None
 
 
 def test_hooks(spark):
