@@ -99,3 +99,37 @@ def url_origin(c: Column) -> Column:
     """scheme://host of an http(s) address that is no link-local one, else null."""
     u = F.regexp_extract(F.trim(c), r"^(?i)(https?://[^/?#\s]+)", 1)
     return F.when((u != "") & ~u.rlike(r"^(?i)https?://(?:[^@/]*@)?(?:169\.254\.|\[?fe80:)"), F.regexp_replace(F.lower(u), r"//[^@/]*@", "//"))
+
+
+def js_escape(c: Column) -> Column:
+    """For a string in single quotes inside an attribute: backslashes and quotes as JavaScript, then HTML."""
+    return html_escape(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")))
+
+
+def without_unit(title: Column, unit: Column) -> Column:
+    """A title without " (unit)" at its end, if that is its unit."""
+    tail = F.concat(F.lit(" ("), unit, F.lit(")"))
+    return F.when(F.coalesce(title.endswith(tail), F.lit(False)), F.substring(title, F.lit(1), F.char_length(title) - F.char_length(tail))).otherwise(title)
+
+
+def strict_base64(c: Column) -> Column:
+    """The bytes of a base64 text, null where it isn't one: wrong characters, length or padding."""
+    return F.when(c.rlike(r"^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"), F.unbase64(c))
+
+
+def link_names(text: Column, names: Column, own: Column) -> Column:
+    """Markdown text with known names (an array) as links, outside `code`, but not the own one; longer names first."""
+    usable = F.filter(names, lambda n: (n != own) & (n != ""))
+    longest = F.array_sort(usable, lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0))
+    quoted = F.transform(longest, lambda n: F.regexp_replace(n, r"([\\\[\](){}.*+?^$|])", r"\\$1"))
+    pattern = F.concat(F.lit(r"\b("), F.array_join(quoted, "|"), F.lit(r")\b"))
+    # every second part stands in backticks
+    parts = F.transform(F.split(text, "`"), lambda x, i: F.when(i % 2 == 1, x).otherwise(F.regexp_replace(x, pattern, F.lit("[$1](#$1)"))))
+    return F.when(F.size(usable) > 0, F.array_join(parts, "`")).otherwise(text)
+
+
+def block_html(kind: Column, content: Column) -> Column:
+    """A Markdown block as HTML."""
+    c = html_escape(content)
+    wrap = lambda tag: F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>"))
+    return F.when(kind.isin("h1", "h2", "h3"), F.concat(F.lit("<"), kind, F.lit(">"), c, F.lit("</"), kind, F.lit(">"))).when(kind == "li", wrap("li")).when(kind == "code", wrap("pre")).otherwise(wrap("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -134,3 +134,48 @@ def import_rows(spark: SparkSession, path: str) -> DataFrame:
     if (n := lines.count()) != manifest["count"]:
         raise ValueError(f"{n} rows, the manifest says {manifest['count']}")
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def merge_fields(old: DataFrame, new: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """Keyed rows of both; a field of new counts unless it is null, an empty string clears it."""
+    n = new.select(*key, *[F.col(c).alias(f"_n_{c}") for c in columns])
+    pick = lambda c: F.when(F.col(f"_n_{c}").cast("string") == "", None).otherwise(F.coalesce(F.col(f"_n_{c}"), F.col(c))).alias(c)
+    return old.select(*key, *columns).join(n, key, "full").select(*key, *[pick(c) for c in columns])
+
+
+def index_run(old: DataFrame, new: DataFrame, key: str, hash_col: str, generations: Generations | None = None) -> tuple[DataFrame, DataFrame]:
+    """The next state of an index and its counters (status, n): unchanged rows stay, new and changed ones are taken, stale ones go in the same plan.
+
+    Of rows with one id the last by hash counts. With ``generations`` the state is published as the next version.
+    """
+    new = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), F.coalesce(hash_col, F.lit(""))).alias("_r")).select(key, "_r.*")
+    status = diff(old, new, [key], hash_col)
+    taken = new.join(status.where("status in ('new', 'changed')").select(key), key, "left_semi")
+    state = old.join(status.where("status = 'unchanged'").select(key), key, "left_semi").unionByName(taken, allowMissingColumns=True)
+    if generations is not None:
+        state = generations.read(generations.write(state))
+    return state, status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+def migrate_ids(chunks: DataFrame, new_id: Column, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks under new ids with old_id beside them, and edges (caller_id, callee_id) re-keyed; edges with an end that is gone are dropped. Parts keep their id."""
+    moved = chunks.withColumn("old_id", F.col("id")).withColumn("id", F.when(F.col("kind") == "method_part", F.col("id")).otherwise(new_id))
+    ids = moved.select("old_id", "id").distinct()
+    e = edges
+    for end in ("caller_id", "callee_id"):
+        e = e.join(ids.select(F.col("old_id").alias(end), F.col("id").alias("_id")), end).drop(end).withColumnRenamed("_id", end)
+    return moved, e
+
+
+def rename_collection(tables: dict[str, DataFrame], column: dict[str, str], old: str, new: str | None) -> dict[str, DataFrame]:
+    """Every table with a collection renamed, or deleted if ``new`` is null. Renaming onto an existing name is an error."""
+    if new is not None and any(not t.where(F.col(column[n]) == new).isEmpty() for n, t in tables.items()):
+        raise ValueError(f"{new} exists")
+    if new is None:
+        return {n: t.where(~F.col(column[n]).eqNullSafe(F.lit(old))) for n, t in tables.items()}
+    return {n: t.withColumn(column[n], F.when(F.col(column[n]) == old, new).otherwise(F.col(column[n]))) for n, t in tables.items()}
+
+
+def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
+    """One JSON object per line, other than ASCII kept as it is; to a new folder, or behind what is there."""
+    export_rows(df).write.mode("append" if append else "errorifexists").text(path)

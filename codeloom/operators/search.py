@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators.skew import heavy_keys, salted_join
+from codeloom.session import Scratch
 
 K1, B = 1.2, 0.75
 POOL = 200
@@ -33,15 +35,16 @@ def postings(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, top: int = POOL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """q_id, doc_id, score, rank: textbook BM25 of the queries (q_id, q_text) against all documents.
 
-    Only terms of the queries are exploded and shuffled. Equal scores (to 6 digits) are ranked by doc_id; a query without known words finds nothing.
+    Only terms of the queries are shuffled. ``top`` must cover the page that is shown: max(POOL, offset + k). Equal scores (to 6 digits) are ranked by doc_id; a query without known words finds nothing.
     """
     q = queries.select("q_id", F.explode(F.array_distinct(tokens(F.col("q_text")))).alias("term"))
     d = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("t"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("avgdl"))
     tf = d.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term")).join(q.select("term").distinct(), "term", "left_semi")
-    tf = tf.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
+    tf = Scratch(docs.sparkSession, "postings").put(tf.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len")), "tf")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    s = q.join(df, "term").join(tf, "term").join(F.broadcast(stats))  # one row
+    # the postings of common words are salted
+    s = salted_join(tf, q.join(df, "term"), "term", heavy_keys(tf, "term")).join(F.broadcast(stats))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     s = s.groupBy("q_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))

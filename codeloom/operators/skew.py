@@ -36,9 +36,9 @@ def salted_aggregate(df: DataFrame, keys: list[str], heavy_on: str, row_hash: Co
 
 
 def salted_join(many: DataFrame, one: DataFrame, on: str, heavy: list, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """many joined with one, in which each key stands once, without a task that holds all rows of a heavy key.
+    """many joined with one, in which each key has few rows, without a task that holds all rows of a heavy key.
 
-    The rows of a heavy key are spread over ``salts`` groups by a hash of the row; its one partner is repeated for each.
+    The rows of a heavy key are spread over ``salts`` groups by a hash of the row; its partners are repeated for each.
     """
     if not heavy:
         return many.join(one, on, how)

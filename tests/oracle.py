@@ -37,7 +37,7 @@ def compare(spark, name, sf_dir, query, sql):
     cols = [c[0] for c in cur.description]
     theirs = rows_of(cols, cur.fetchall())
     assert sorted(df.columns) == sorted(cols), (name, df.columns, cols)
-    assert len(ours) == len(theirs), (name, len(ours), len(theirs), [x for x in ours if x not in set(theirs)][:3], [x for x in theirs if x not in set(ours)][:3])
+    assert len(ours) == len(theirs), (name, len(ours), len(theirs), sorted(set(ours) - set(theirs))[:3], sorted(set(theirs) - set(ours))[:3])
     bad = [(a, b) for a, b in zip(ours, theirs) if a != b]
     assert not bad, (name, len(bad), bad[:3])
     return len(ours)
