@@ -121,25 +121,35 @@ def leaks(documents: DataFrame, items: DataFrame, n: int = WORDS, max_broadcast:
     return docs.mapInPandas(scan, "doc_id bigint, " + HITS).dropDuplicates()
 
 
-def _windows(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """key, gram, at, char_start, char_end of every window of n words."""
+def _windows(df: DataFrame, key: str, text: str, n: int, wanted=None) -> DataFrame:
+    """key, gram, words, at, char_start, char_end of the windows of n words; with ``wanted``, a broadcast Bloom filter of grams, of those that pass it."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            rows = []
             for k, t in zip(b[key], b[text]):
                 found = [(m.group().lower(), *m.span()) for m in _WORD.finditer(t or "")]
-                grams = [xxhash.xxh3_128_digest(" ".join(w for w, _, _ in found[i : i + n])) for i in range(len(found) - n + 1)]
-                yield pd.DataFrame({"k": k, "gram": grams, "at": range(len(grams)), "a": [found[i][1] for i in range(len(grams))], "b": [found[i + n - 1][2] for i in range(len(grams))]})
+                grams = [" ".join(w for w, _, _ in found[i : i + n]) for i in range(len(found) - n + 1)]
+                hashes = np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64)
+                keep = range(len(grams)) if wanted is None else np.flatnonzero(wanted.value.has(hashes)) if len(grams) else ()
+                rows += [(k, int(hashes[i].astype(np.int64)), grams[i], int(i), found[i][1], found[i + n - 1][2]) for i in keep]
+            yield pd.DataFrame(rows, columns=["k", "gram", "words", "at", "a", "b"])
 
-    return df.select(key, text).mapInPandas(cut, "k bigint, gram binary, at int, a int, b int")
+    return df.select(key, text).mapInPandas(cut, "k bigint, gram bigint, words string, at int, a int, b int")
 
 
 def _joined(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
-    """The same spans by a join on 128-bit n-gram hashes, for item sets over the bound."""
+    """The same spans by a join on n-grams, for item sets over the bound: a Bloom filter of bounded size keeps most windows out of the shuffle, hot grams are salted, and the words themselves decide."""
     from pyspark.sql import Window
 
-    grams = _windows(items, "item_id", "passage", n).select("gram", F.col("k").alias("item_id")).distinct()
-    hits = _windows(docs, "doc_id", "text", n).withColumnRenamed("k", "doc_id").join(grams, "gram").select("doc_id", "item_id", "at", "a", "b").distinct()
+    from codeloom.llm.shared_spans import bloom
+    from codeloom.operators.skew import heavy_keys, salted_join
+
+    grams = _windows(items, "item_id", "passage", n).select("gram", F.col("words").alias("item_words"), F.col("k").alias("item_id")).distinct()
+    known = grams.select("gram").distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bloom(known, "gram", known.count()))
+    wins = _windows(docs, "doc_id", "text", n, wanted).withColumnRenamed("k", "doc_id")
+    hits = salted_join(wins, grams, "gram", heavy_keys(wins, "gram")).where("words = item_words").select("doc_id", "item_id", "at", "a", "b").distinct()
     w = Window.partitionBy("doc_id", "item_id").orderBy("at")
     hits = hits.withColumn("new", (F.col("at") > F.coalesce(F.lag("at").over(w), F.lit(-n - 1)) + n).cast("int")).withColumn("run", F.sum("new").over(w))
     g = hits.groupBy("doc_id", "item_id", "run").agg(F.min("a").alias("char_start"), F.max("b").alias("char_end"), (F.max("at") - F.min("at") + n).cast("int").alias("n_words"))

@@ -85,6 +85,16 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_pairs, p3_found, p3_pieces, p3_r
 
 _CUR = "cur AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC) = 1)"
 _WORDS = r"list_transform(regexp_extract_all({}, '[\p{{L}}\p{{N}}]+'), lambda w: lower(w))"
+# words with their places, the windows of twelve that stand in an item, and the spans that they make up
+_LEAKS = rf"""items AS (SELECT item_id, {_WORDS.format("passage")} AS w FROM eval_items),
+grams AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM items)),
+d AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+') AS w, string_split_regex(text, '[\p{{L}}\p{{N}}]+') AS s FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(s[1:len(w)]) AS sep FROM d),
+pos AS (SELECT doc_id, i, lower(word) AS word, length(word) AS n, sum(length(sep) + length(word)) OVER (PARTITION BY doc_id ORDER BY i) - length(word) AS a FROM t),
+wins AS (SELECT doc_id, i, a, string_agg(word, ' ') OVER x AS g, last_value(a + n) OVER x AS b, count(*) OVER x AS k FROM pos WINDOW x AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+hits AS (SELECT DISTINCT doc_id, item_id, i, a, b FROM wins JOIN grams USING (g) WHERE k = 12),
+cut AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id, item_id ORDER BY i) + 12 THEN 0 ELSE 1 END AS new FROM hits), run AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS run FROM cut),
+leaks AS (SELECT doc_id, item_id, min(a)::BIGINT AS char_start, max(b)::BIGINT AS char_end, (max(i) - min(i) + 12)::BIGINT AS n_words FROM run GROUP BY doc_id, item_id, run)"""
 # every window of 400 characters of every text, and what two documents have
 _SHARED = """wins AS (SELECT doc_id, i - 1 AS a, md5(text[i:i + 399]) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM documents WHERE length(text) >= 400)),
 twice AS (SELECT h, min(doc_id) AS least FROM wins GROUP BY h HAVING min(doc_id) <> max(doc_id)), shared AS (SELECT doc_id, a, least FROM wins JOIN twice USING (h))"""
@@ -102,6 +112,12 @@ grams AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 11], ' ') AS g FROM (
 docs AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
 wins AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM docs))
 SELECT DISTINCT doc_id, item_id FROM wins JOIN grams USING (g)""",
+    "p6_spans": f"WITH {_LEAKS} SELECT * FROM leaks",
+    "p6_cleaned": f"""WITH {_LEAKS}, o AS (SELECT *, max(char_end) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT DISTINCT doc_id, char_start, char_end FROM leaks)),
+m AS (SELECT *, sum(CASE WHEN char_start <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY char_start, char_end ROWS UNBOUNDED PRECEDING) AS g FROM o), s AS (SELECT doc_id, g, min(char_start) AS a, max(char_end) AS b FROM m GROUP BY 1, 2),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s), k AS (SELECT doc_id, sum(b - a)::BIGINT AS leaked, string_agg(text[before + 1:a], '' ORDER BY a) || any_value(text)[max(b) + 1:] AS kept, any_value(length(text)) AS n FROM p JOIN documents USING (doc_id) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id)::INT AS n_items FROM leaks GROUP BY 1)
+SELECT doc_id, CASE WHEN leaked >= 0.5 * n THEN 'drop' ELSE 'cut' END AS action, n_items, leaked::INT AS leaked_chars, n::INT AS text_chars, CASE WHEN leaked < 0.5 * n THEN kept END AS clean_text FROM k JOIN i USING (doc_id)""",
     "p8_found": f"WITH {_SHARED} SELECT DISTINCT doc_id FROM shared",
     "p8_spans": f"WITH {_SHARED}, {_STRETCH.format('shared')} SELECT doc_id, char_start, char_end, least_doc_id FROM spans",
     "p8_report": f"""WITH RECURSIVE {_SHARED}, {_STRETCH.format('shared')}, {_CLUSTERS}, per AS (SELECT doc_id, count(*) AS n_spans, sum(char_end - char_start) AS shared_chars FROM spans GROUP BY 1)
