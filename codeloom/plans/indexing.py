@@ -167,6 +167,10 @@ def export_rows(spark, d):
     return L.export_rows(table(spark, d, "nation"))
 
 
+def export_orders(spark, d):
+    return L.export_rows(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
 def rechunk_units(spark, d):
     """Files put together from their chunks, and cut into chunks again."""
     from codeloom.operators.documents import read_unit
@@ -178,7 +182,7 @@ def rechunk_units(spark, d):
     return chunk_files(files, "again").drop("code", "extends_list", "uses_list")
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, extract_imports_whole, huge_chunks, safe_paths, language_census, export_rows, rechunk_units)}
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, extract_imports_whole, huge_chunks, safe_paths, language_census, export_rows, export_orders, rechunk_units)}
 
 _STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
 r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
@@ -224,5 +228,11 @@ n AS (SELECT id, list_filter(list_transform(l, lambda x: regexp_extract(x, '([A-
 SELECT collection, unit, coalesce(regexp_full_match(collection, '[A-Za-z0-9_.\-]{1,64}') AND collection NOT IN ('.', '..') AND p <> '' AND p NOT LIKE '%:%' AND p NOT LIKE '/%' AND NOT list_contains(string_split(p, '/'), '..'), false) AS safe, false AS escaped FROM u""",
     "language_census": rf"""WITH {CUR}, f AS (SELECT DISTINCT collection, regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '') AS unit, coalesce(lang, 'pascal') AS label FROM cur), g AS (SELECT collection, label, count(*) AS n FROM f GROUP BY ALL)
 SELECT collection, label, n, floor(100.0 * n / sum(n) OVER (PARTITION BY collection) + 0.5)::BIGINT AS percent, row_number() OVER (PARTITION BY collection ORDER BY n DESC, label) AS place FROM g QUALIFY place <= 2""",
+    "rate_limit": """WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT user_id, event_id, k, true AS accepted, NULL::TIMESTAMPTZ AS older, ts::TIMESTAMPTZ AS newer FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.k, ok, CASE WHEN ok THEN newer ELSE older END, CASE WHEN ok THEN e.ts::TIMESTAMPTZ ELSE newer END
+  FROM (SELECT w.*, n.event_id AS e2, n.k AS k2, n.ts AS t2, older IS NULL OR n.ts::TIMESTAMPTZ - older > INTERVAL 24 HOURS AS ok FROM w JOIN e n ON n.user_id = w.user_id AND n.k = w.k + 1) x JOIN e ON e.user_id = x.user_id AND e.k = x.k2)
+SELECT user_id, event_id, accepted FROM w""",
+    "export_orders": """SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS value FROM orders""",
     "export_rows": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
 }

@@ -83,6 +83,18 @@ def translation_overlay(spark, d):
     return D.overlay(base, t, ["collection", "source"], "body", "de").select("collection", "source", "translated", F.md5("body").alias("body"))
 
 
+def translation_overlay_whole(spark, d):
+    """Every English document of a collection, with the German one of the same collection, source (in any spelling) and place among them, where there is one."""
+    from codeloom.operators.skew import ranked
+
+    source = F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_")
+    docs = table(spark, d, "documents").where("text is not null and collection is not null and source is not null").select("doc_id", "collection", source.alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
+    docs = docs.select("doc_id", "collection", "source", "lang", F.md5("text").alias("body")).where("lang in ('en', 'de')")
+    r = ranked(docs, ["collection", "source", "lang"], ["doc_id"])
+    base, key = r.where("lang = 'en'").drop("lang"), ["collection", "source", "place"]
+    return D.overlay(base, r.select(*key, "lang", "body"), key, "body", "de").select("doc_id", "translated", "body")
+
+
 def prompt_windows(spark, d):
     """With the first 60 characters of the escaped text; prompt_windows_whole has all of it."""
     return prompt_windows_whole(spark, d).withColumn("escaped", F.substring("escaped", 1, 60))
@@ -132,7 +144,7 @@ def idle_customers(spark, d):
     return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance"))
 
 
-QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, prompt_windows, prompt_windows_whole, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
+QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, translation_overlay_whole, prompt_windows, prompt_windows_whole, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
 
 _LOG = '''log AS (SELECT event_type AS mode, value AS ms, event_type = 'error' AS zero, ts AS "at", user_id, props->>'$.k' AS q FROM events)'''
 ORACLE = {
@@ -159,6 +171,9 @@ CASE WHEN part % 2 = 1 THEN line ELSE trim(regexp_replace(line, '^(#{1,3} |[ \t]
     "translation_overlay": """WITH d AS (SELECT doc_id, collection, lower(trim(source)) AS source, lower(trim(lang)) AS lang, text FROM documents WHERE text IS NOT NULL AND collection IS NOT NULL),
 b AS (SELECT collection, source, arg_min(text, doc_id) AS body FROM d WHERE lang = 'en' GROUP BY 1, 2), t AS (SELECT collection, source, min(text) AS t FROM d WHERE lang = 'de' GROUP BY 1, 2)
 SELECT b.collection, b.source, t.t IS NOT NULL AS translated, md5(coalesce(t.t, body)) AS body FROM b LEFT JOIN t ON t.collection = b.collection AND t.source = b.source""",
+    "translation_overlay_whole": r"""WITH r AS (SELECT doc_id, collection, regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source, lower(trim(lang)) AS lang, md5(text) AS body FROM documents WHERE text IS NOT NULL AND collection IS NOT NULL AND source IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY collection, source, lang ORDER BY doc_id) AS place FROM r WHERE lang IN ('en', 'de'))
+SELECT e.doc_id, g.body IS NOT NULL AS translated, coalesce(g.body, e.body) AS body FROM p e LEFT JOIN p g ON g.collection = e.collection AND g.source = e.source AND g.place = e.place AND g.lang = 'de' WHERE e.lang = 'en'""",
     "prompt_windows": """SELECT doc_id, greatest(4096, least(16384, floor(length(text) * 20 / 3.5) + 600 + 256))::BIGINT AS num_ctx, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')[1:60] AS escaped FROM documents WHERE text IS NOT NULL""",
     "text_sizes": """WITH d AS (SELECT coalesce(nullif(lower(regexp_extract(trim(lang), '^([A-Za-z]{2})(?:-.*)?$', 1)), ''), 'und') AS lang2, length(text) AS n, n_chars FROM documents)
 SELECT lang2, count(*) AS n, coalesce(sum(n), 0)::BIGINT AS chars, count(*) FILTER (coalesce(n, -1) <> coalesce(n_chars, -1)) AS n_wrong FROM d GROUP BY ROLLUP (lang2)""",
