@@ -136,7 +136,7 @@ def type_hierarchy(chunks: DataFrame, edges: DataFrame, paths: bool = True) -> D
     sep = "\x01"
     key = lambda c: F.concat(F.coalesce("src_collection", F.lit("")), F.lit(sep), F.col(c))
     bare = lambda c: F.substring_index(c, sep, -1)
-    types = collection_types(chunks, edges)
+    types = Scratch(chunks.sparkSession, "types").put(collection_types(chunks, edges), "types")  # read twice
     found = contract(type_links(edges).select(key("child").alias("n"), key("parent").alias("p")), types.select(key("child").alias("n")), paths)
     out = types.withColumn("n", key("child")).join(found, "n")
     cols = ["src_collection", F.col("child").alias("node_name"), F.coalesce(bare("root"), F.lit(CYCLE)).alias("root_name"), F.col("depth").alias("tree_depth")]
