@@ -38,14 +38,30 @@ _SLICES = 64
 # fixed value: the published pre-tokenisation pattern of the vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WIDE = re.compile(r"\s | \s")
+# white space as the vocabulary's pattern has it, and what stands up to the next; no token reaches from the latter into the former
+_RUNS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+_WORDS = re.compile(r"\w+")
 _CACHE = 400_000
 
 
+class _Cache(dict):
+    """Computes what it doesn't hold, and keeps it up to a size; what isn't kept is computed again."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(self) < _CACHE:
+            self[key] = value
+        return value
+
+
 class TokenCounter:
     """Counts tokens of a tiktoken vocabulary, piece by piece with a cache.
 
-    A text without blanks beside other white space is cut before each blank, where no token can reach across;
-    other texts are encoded whole.
+    A text is cut before each blank, where no token can reach across; one with blanks beside other white space before each run of white space.
     """
 
     _loaded: dict[str, TokenCounter] = {}
@@ -56,7 +72,8 @@ class TokenCounter:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("counter", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.cache: dict[str, int] = {}
+        self.runs = _Cache(lambda piece: len(self.encode(piece)))
+        self.words = _Cache(lambda word: len(self.encode(" " + word)))
 
     @classmethod
     def get(cls, path: str) -> TokenCounter:
@@ -68,17 +85,9 @@ class TokenCounter:
         if not text:
             return 0
         if _WIDE.search(text):
-            return len(self.encode(text))
-        cache, n = self.cache, 0
+            return sum(map(self.runs.__getitem__, _RUNS.findall(text)))
         head, *rest = text.split(" ")
-        for piece in rest:
-            k = cache.get(piece)
-            if k is None:
-                k = len(self.encode(" " + piece))
-                if len(cache) < _CACHE:  # memory only: what isn't kept is encoded again
-                    cache[piece] = k
-            n += k
-        return n + len(self.encode(head))
+        return self.runs[head] + sum(map(self.words.__getitem__, rest))
 
 
 def source_name(c: Column) -> Column:
@@ -86,15 +95,13 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"), F.lit(""))
 
 
-def _features(text: str, cache: dict[str, int]) -> np.ndarray:
-    at = set()
-    for w in set(re.findall(r"\w+", text.lower())):
-        f = cache.get(w)
-        if f is None:
-            f = zlib.crc32(w.encode()) % FEATURES
-            if len(cache) < _CACHE:
-                cache[w] = f
-        at.add(f)
+def _word_features() -> _Cache:
+    """Feature numbers of the words in a piece without white space."""
+    return _Cache(lambda piece: frozenset(zlib.crc32(w.encode()) % FEATURES for w in _WORDS.findall(piece.lower())))
+
+
+def _features(text: str, cache: _Cache) -> np.ndarray:
+    at = set().union(*map(cache.__getitem__, set(text.split())))
     return np.fromiter(at, np.int64, len(at))
 
 
@@ -108,16 +115,22 @@ class Classifier:
         self.on, self.off = (np.log(p) - np.log1p(-p)).T.copy(), np.log1p(-p).sum(axis=1)
         self.prior = np.log(rows / rows.sum())
 
-    def evidence(self, text: str, cache: dict[str, int]) -> np.ndarray:
-        return self.off + self.on[_features(text, cache)].sum(axis=0)
+    def evidence(self, texts: list[str], cache: _Cache) -> np.ndarray:
+        return self.off + np.array([self.on[_features(t, cache)].sum(axis=0) for t in texts]).reshape(len(texts), len(self.labels))
 
-    def posterior(self, text: str, label: str | None = None, cache: dict[str, int] | None = None) -> np.ndarray:
-        s = self.prior + self.evidence(text, {} if cache is None else cache) / self.temperature
-        if label in self.labels and len(self.labels) > 1:
-            own = np.arange(len(self.labels)) == self.labels.index(label)
-            s = s + np.where(own, math.log(LABEL_TRUST), math.log((1 - LABEL_TRUST) / (len(self.labels) - 1)))
-        e = np.exp(s - s.max())
-        return e / e.sum()
+    def posterior(self, text: str, label: str | None = None) -> np.ndarray:
+        return self.posteriors([text], [label], _word_features())[0]
+
+    def posteriors(self, texts: list[str], given: list[str | None], cache: _Cache) -> np.ndarray:
+        """Texts x labels; a given label counts if it is one of the model's."""
+        n = len(self.labels)
+        s = self.prior + self.evidence(texts, cache) / self.temperature
+        if n > 1:
+            at = {x: i for i, x in enumerate(self.labels)}
+            own = np.array([at.get(x, -1) for x in given], int)
+            s[own >= 0] += np.where(np.arange(n) == own[own >= 0, None], math.log(LABEL_TRUST), math.log((1 - LABEL_TRUST) / (n - 1)))
+        e = np.exp(s - s.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
 
 def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Classifier:
@@ -129,7 +142,7 @@ def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Cl
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, cache = {}, {}
+        total, cache = {}, _word_features()
         for b in batches:
             for s, t in zip(b["source"], b["text"]):
                 c = total.setdefault(s, np.zeros(FEATURES + 1, np.int64))
@@ -149,14 +162,16 @@ def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Cl
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, cache, sums = shared.value, {}, np.zeros(len(TEMPERATURES))
+        m, cache, sums = shared.value, _word_features(), np.zeros(len(TEMPERATURES))
         for b in batches:
-            for s, t in zip(b["source"], b["text"]):
-                if s in m.labels:
-                    e = m.evidence(t, cache)
-                    for i, temperature in enumerate(TEMPERATURES):
-                        x = m.prior + e / temperature
-                        sums[i] += np.log(np.exp(x - x.max()).sum()) + x.max() - x[m.labels.index(s)]
+            b = b[b["source"].isin(m.labels)]
+            if not len(b):
+                continue
+            e, own = m.evidence(list(b["text"]), cache), np.array([m.labels.index(x) for x in b["source"]])
+            for i, temperature in enumerate(TEMPERATURES):
+                x = m.prior + e / temperature
+                top = x.max(axis=1)
+                sums[i] += (np.log(np.exp(x - top[:, None]).sum(axis=1)) + top - x[np.arange(len(x)), own]).sum()
         yield pd.DataFrame({"t": TEMPERATURES, "loss": sums})
 
     sums = d.where(held).select("source", "text").mapInPandas(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
@@ -173,14 +188,13 @@ def sized(documents: DataFrame, model: Classifier | None = None, labels: list[st
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import SparkFiles
 
-        n, cache = TokenCounter.get(SparkFiles.get(name)), {}
+        n, cache = TokenCounter.get(SparkFiles.get(name)), _word_features()
         m, labels = shared.value
         at = [labels.index(x) for x in m.labels] if m else []
         for b in batches:
             p = np.zeros((len(b), len(labels)), np.float32)
-            if m:
-                for i, (text, source) in enumerate(zip(b["text"], b["source"])):
-                    p[i, at] = m.posterior(text, source, cache)
+            if m and len(b):
+                p[:, at] = m.posteriors(list(b["text"]), list(b["source"]), cache)
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [n(t) for t in b["text"]], "text_hash": [xxhash.xxh3_128_digest(t.encode()) for t in b["text"]], "p": list(p)})
 
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
