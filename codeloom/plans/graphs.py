@@ -10,26 +10,15 @@ from codeloom.operators import components, documents
 from codeloom.operators import graph as G
 from codeloom.operators import hierarchy as H
 from codeloom.plans.common import CUR, cur, wide
-from codeloom.plans.indexing import _CALLS, _CALLS_WHOLE, _FIRST, _FIRST_WHOLE
+from codeloom.plans.indexing import _CALLS, _FIRST
 from codeloom.plans.training import _TREE
 
 
-# the names without _whole keep the reference's caps on text, names and candidates (see graph.py), as their SQL twins do; those with it have every edge
-
-
 def call_edges(spark, d):
-    return G.call_edges(cur(spark, d), capped=True)
-
-
-def call_edges_whole(spark, d):
     return G.call_edges(cur(spark, d))
 
 
 def called_by(spark, d):
-    return wide(G.called_by(G.call_edges(cur(spark, d), capped=True)).withColumn("callers", F.array_join("callers", ",")))
-
-
-def called_by_whole(spark, d):
     return wide(G.called_by(G.call_edges(cur(spark, d)), cap=None).withColumn("callers", F.array_join("callers", ",")))
 
 
@@ -95,62 +84,29 @@ def topo_order(spark, d):
 
 def impact(spark, d):
     """What a change of the units whose stem begins with A to C reaches."""
-    return _impact(spark, d, capped=True)
-
-
-def impact_whole(spark, d):
-    return _impact(spark, d, capped=False)
-
-
-def _impact(spark, d, capped):
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
     changed = c.where(F.lower(T.stem(F.col("unit"))).rlike("^[abc]")).select("collection", "unit").distinct()
     links = _links(spark, d).withColumnRenamed("src_collection", "collection")
     ids = c.where("kind = 'type'").groupBy("collection", F.lower(F.trim("name")).alias("child")).agg(F.min("id").alias("child_id"))
-    return G.impact(changed, c, G.call_edges(c, capped), links.join(ids, ["collection", "child"]))
+    return G.impact(changed, c, G.call_edges(c), links.join(ids, ["collection", "child"]))
 
 
 def references(spark, d):
-    return _references(spark, d, capped=True)
-
-
-def references_whole(spark, d):
-    return _references(spark, d, capped=False)
-
-
-def _references(spark, d, capped):
     names = table(spark, d, "eval_items").select("collection", F.explode("expected_names").alias("name"))
     c = cur(spark, d)
-    return G.references(c, G.call_edges(c, capped), names.select("collection", T.bare_name(F.col("name")).alias("name")))
+    return G.references(c, G.call_edges(c), names.select("collection", T.bare_name(F.col("name")).alias("name")))
 
 
 def read_unit(spark, d):
-    """Of each unit the first 4,000 characters; read_unit_whole has all."""
-    return _read_unit(spark, d, cap=4_000)
-
-
-def read_unit_whole(spark, d):
-    return _read_unit(spark, d, cap=None)
-
-
-def _read_unit(spark, d, cap):
+    """Whole units, as the digest of their text."""
     c = cur(spark, d).withColumn("unit", file_path(F.col("unit")))
-    return wide(documents.read_unit(c, cap=cap).withColumn("content", F.md5("content")))
+    return wide(documents.read_unit(c, cap=None).withColumn("content", F.md5("content")))
 
 
 def context_pack(spark, d):
-    """Per method with callers: itself, its first 12 callers and callees, under a budget of 2,000 characters."""
-    return _context_pack(spark, d, capped=True)
-
-
-def context_pack_whole(spark, d):
-    """The same from all edges; the pack's own budget and its 12 callers and callees stay."""
-    return _context_pack(spark, d, capped=False)
-
-
-def _context_pack(spark, d, capped):
+    """Per method with callers: itself, its first 12 callers and callees, under a budget of 2,000 characters: the pack's feature. The edges are whole."""
     c = cur(spark, d).select("collection", "id", "kind", "name", "unit", F.char_length("code").alias("n_chars"))
-    e = G.call_edges(cur(spark, d), capped)
+    e = G.call_edges(cur(spark, d))
     info = c.select("collection", "id", F.concat_ws("|", "name", F.col("id").cast("string")).alias("title"), "n_chars")
     own = e.select("collection", F.col("callee_id").alias("root")).distinct()
     part = lambda df, o: df.join(info, ["collection", "id"]).select("collection", "root", F.lit(o).alias("o"), "id", "title", "n_chars")
@@ -168,14 +124,14 @@ def _first(df, n):
     return top_k(df, ["collection", "root"], [F.asc("id")], n).drop("rank")
 
 
-QUERIES = {f.__name__: f for f in (call_edges, call_edges_whole, called_by, called_by_whole, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, impact_whole, references, references_whole, read_unit, read_unit_whole, context_pack, context_pack_whole)}
+QUERIES = {f.__name__: f for f in (call_edges, called_by, symbol_edges, type_relatives, type_families, class_tree, unit_deps, unit_dependency_counts, topo_order, impact, references, read_unit, context_pack)}
 
 _U = r"regexp_replace(replace(trim(unit), '\', '/'), '^(?:\./+)+', '')"
 _BARE = "lower(trim(regexp_extract({0}, '[^.]*$')))"
 _COMMON = ", ".join(f"'{x}'" for x in G.COMMON)
 _EDGES = f"""{CUR},
 best AS (SELECT collection, unit, {_BARE.format("name")} AS bare, arg_min(id, (CASE WHEN kind = 'method' THEN 0 ELSE 1 END, id)) AS id, min(id) AS first_id FROM cur WHERE kind IN ('method', 'decl', 'type') GROUP BY 1, 2, 3),
-idx AS (SELECT * FROM best WHERE bare <> '' QUALIFY row_number() OVER (PARTITION BY collection, bare ORDER BY first_id) <= 8),
+idx AS (SELECT * FROM best WHERE bare <> ''),
 calls AS (SELECT collection, id AS caller_id, {_CALLS} AS l FROM cur WHERE kind = 'method'),
 names AS (SELECT collection, caller_id, unnest({_FIRST.format("l")}) AS bare FROM calls),
 edges AS (SELECT collection, caller_id, idx.id AS callee_id, min(bare) AS name FROM names JOIN idx USING (collection, bare) WHERE bare NOT IN ({_COMMON}) AND caller_id <> idx.id GROUP BY 1, 2, 3)"""
@@ -187,8 +143,8 @@ deps AS (SELECT u.collection, u.unit, used, coalesce(a.target, b.target, c.targe
 
 ORACLE = {
     "call_edges": f"WITH {_EDGES} SELECT * FROM edges",
-    "called_by": f"""WITH {_EDGES}, r AS (SELECT *, row_number() OVER (PARTITION BY collection, callee_id ORDER BY caller_id) AS n FROM edges)
-SELECT collection, callee_id, count(*) AS n_callers, string_agg(CASE WHEN n <= 16 THEN caller_id::VARCHAR END, ',' ORDER BY caller_id) AS callers FROM r GROUP BY 1, 2""",
+    "called_by": f"""WITH {_EDGES}
+SELECT collection, callee_id, count(*) AS n_callers, string_agg(caller_id::VARCHAR, ',' ORDER BY caller_id) AS callers FROM edges GROUP BY 1, 2""",
     "symbol_edges": f"""WITH {CUR}, t AS (SELECT collection, id, lang, trim(name) AS cn, unnest(extends_list) AS pn, generate_subscripts(extends_list, 1) - 1 AS pos FROM cur WHERE kind = 'type'),
 e AS (SELECT collection, CASE WHEN coalesce(lang, '') = 'rust' THEN 'implements' WHEN regexp_matches(cn, '^I[A-Z]') OR pos = 0 THEN 'inherits' ELSE 'implements' END AS edge, lower(cn) AS child, lower(trim(pn)) AS parent, max(id) AS child_id
   FROM t WHERE cn <> '' AND trim(pn) <> '' AND lower(cn) <> lower(trim(pn)) GROUP BY ALL),
@@ -218,9 +174,8 @@ d AS (SELECT n.collection, n.name, cur.id, cur.kind FROM n JOIN cur ON cur.colle
 dn AS (SELECT collection, name, count(*) AS n_definitions FROM d GROUP BY 1, 2), tx AS (SELECT n.collection, n.name, count(*) AS n_textual FROM n JOIN c ON c.collection = n.collection AND c.w = n.name AND (c.bare IS NULL OR c.bare <> n.name) GROUP BY 1, 2),
 cl AS (SELECT d.collection, d.name, count(DISTINCT caller_id) AS n_callers FROM d JOIN edges e ON e.collection = d.collection AND e.callee_id = d.id WHERE d.kind = 'method' GROUP BY 1, 2)
 SELECT collection, name, coalesce(n_definitions, 0) AS n_definitions, coalesce(n_textual, 0) AS n_textual, coalesce(n_callers, 0) AS n_callers FROM n LEFT JOIN dn USING (collection, name) LEFT JOIN tx USING (collection, name) LEFT JOIN cl USING (collection, name)""",
-    "read_unit": f"""WITH {CUR}, p AS (SELECT collection, {_U} AS unit, id, coalesce(line_start, 0) AS line, '# ' || coalesce(name, '') || chr(10) || coalesce(code, '') AS part FROM cur WHERE unit IS NOT NULL),
-u AS (SELECT *, sum(length(part) + 1) OVER (PARTITION BY collection, unit ORDER BY line, id ROWS UNBOUNDED PRECEDING) AS used FROM p)
-SELECT collection, unit, count(*) AS n_chunks, count(*) FILTER (used <= 4000) AS n_used, count(*) FILTER (used <= 4000) < count(*) AS truncated, md5(coalesce(string_agg(part, chr(10) ORDER BY line, id) FILTER (used <= 4000), '')) AS content FROM u GROUP BY 1, 2""",
+    "read_unit": f"""WITH {CUR}, p AS (SELECT collection, {_U} AS unit, id, coalesce(line_start, 0) AS line, '# ' || coalesce(name, '') || chr(10) || coalesce(code, '') AS part FROM cur WHERE unit IS NOT NULL)
+SELECT collection, unit, count(*) AS n_chunks, count(*) AS n_used, false AS truncated, md5(string_agg(part, chr(10) ORDER BY line, id)) AS content FROM p GROUP BY 1, 2""",
     "context_pack": f"""WITH RECURSIVE {_EDGES}, own AS (SELECT DISTINCT collection, callee_id AS root FROM edges),
 parts AS (SELECT collection, root, 0 AS o, root AS id FROM own
   UNION ALL SELECT collection, callee_id, 1, caller_id FROM (SELECT *, row_number() OVER (PARTITION BY collection, callee_id ORDER BY caller_id) AS n FROM edges) WHERE n <= 12
@@ -231,8 +186,3 @@ fold AS (SELECT collection, root, 0::BIGINT AS k, 0::BIGINT AS used, []::VARCHAR
   FROM fold f JOIN sec s ON s.collection = f.collection AND s.root = f.root AND s.k = f.k + 1)
 SELECT collection, root, used AS used_chars, used // 4 AS used_tokens, array_to_string(kept, ',') AS kept, array_to_string(omitted, ',') AS omitted FROM fold QUALIFY row_number() OVER (PARTITION BY collection, root ORDER BY k DESC) = 1""",
 }
-
-_EDGES_WHOLE = _EDGES.replace(_CALLS, _CALLS_WHOLE).replace(_FIRST.format("l"), _FIRST_WHOLE.format("l")).replace(" QUALIFY row_number() OVER (PARTITION BY collection, bare ORDER BY first_id) <= 8", "")
-ORACLE |= {f"{k}_whole": ORACLE[k].replace(_EDGES, _EDGES_WHOLE) for k in ("call_edges", "impact", "references", "context_pack")}
-ORACLE["called_by_whole"] = ORACLE["called_by"].replace(_EDGES, _EDGES_WHOLE).replace("CASE WHEN n <= 16 THEN caller_id::VARCHAR END", "caller_id::VARCHAR")
-ORACLE["read_unit_whole"] = ORACLE["read_unit"].replace("used <= 4000", "true")

@@ -56,9 +56,14 @@ def merge_collisions(spark, d):
 
 
 def latest_per_key(spark, d):
+    """Each collection's latest request, and how many of its chunks were last indexed before it."""
     r = table(spark, d, "index_requests")
     m = F.max(F.struct("requested_at", "request_id")).alias("m")
-    return r.groupBy("collection").agg(m, F.count_distinct("request_id").alias("n_requests")).select("collection", "m.request_id", F.date_format("m.requested_at", "yyyy-MM-dd HH:mm:ss").alias("requested"), "n_requests")
+    last = r.where("collection is not null").groupBy("collection").agg(m, F.count_distinct("request_id").alias("n_requests"))
+    c = cur(spark, d, ["collection", "indexed_at"]).join(last.select("collection", "m.requested_at"), "collection")
+    behind = c.where("indexed_at < requested_at").groupBy("collection").agg(F.count(F.lit(1)).alias("n_behind"))
+    out = last.join(behind, "collection", "left").fillna(0, ["n_behind"])
+    return out.select("collection", "m.request_id", F.date_format("m.requested_at", "yyyy-MM-dd HH:mm:ss").alias("requested"), "n_requests", "n_behind")
 
 
 def retain_newest(spark, d):
@@ -116,28 +121,11 @@ def hourly_windows(spark, d):
 
 
 def extract_calls(spark, d):
-    """The reference's first names: at most 50, of the first 4,000 characters. extract_calls_whole has all."""
-    return _calls(spark, d, capped=True)
-
-
-def extract_calls_whole(spark, d):
-    return _calls(spark, d, capped=False)
-
-
-def _calls(spark, d, capped):
     c = cur(spark, d, ["kind", "name", "code"]).where("kind = 'method'")
-    return c.select("id", F.array_join(G.called_names(F.col("code"), T.bare_name(F.col("name")), capped), ",").alias("calls"))
+    return c.select("id", F.array_join(G.called_names(F.col("code"), T.bare_name(F.col("name"))), ",").alias("calls"))
 
 
 def extract_imports(spark, d):
-    """Imports read from the text of Pascal unit heads, without comments and file parts."""
-    c = cur(spark, d, ["kind", "lang", "code"]).where("kind = 'unithead' and lang is null")
-    clause = F.regexp_extract(F.regexp_replace("code", r"//[^\r\n]*|\{[^}]*\}|\(\*[^*]*\*\)", " "), r"(?is)\buses\b([^;]*)", 1)
-    names = F.filter(F.transform(F.split(clause, ","), lambda x: F.regexp_extract(x, r"([A-Za-z_][\w.]*)", 1)), lambda x: x != "")
-    return c.select("id", F.array_join(F.slice(names, 1, 60), ",").alias("imports"), F.size(names).cast("bigint").alias("n"))
-
-
-def extract_imports_whole(spark, d):
     """Imports of the heads of all languages, read from their text; the twin takes the list that the table has."""
     from codeloom.sources.chunker import imports
 
@@ -164,7 +152,7 @@ def language_census(spark, d):
 
 
 def export_rows(spark, d):
-    return L.export_rows(table(spark, d, "nation"))
+    return L.export_rows(cur(spark, d, ["kind", "line_start", "code_hash"]))
 
 
 def export_orders(spark, d):
@@ -182,7 +170,7 @@ def rechunk_units(spark, d):
     return chunk_files(files, "again").drop("code", "extends_list", "uses_list")
 
 
-QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_calls_whole, extract_imports, extract_imports_whole, huge_chunks, safe_paths, language_census, export_rows, export_orders, rechunk_units)}
+QUERIES = {f.__name__: f for f in (index_diff, diff_counts, embedding_needs, vector_state, merge_first_wins, merge_collisions, latest_per_key, retain_newest, upsert_rows, exact_duplicates, duplicate_code, duplicate_code_members, cdc_fold, rate_limit, hourly_windows, extract_calls, extract_imports, huge_chunks, safe_paths, language_census, export_rows, export_orders, rechunk_units)}
 
 _STATES = """t AS (SELECT epoch_us(min(indexed_at)) // 1000000 AS t0, epoch_us(max(indexed_at)) // 1000000 AS t1 FROM chunks),
 r AS (SELECT id, code_hash AS h, indexed_at AS i, epoch_us(indexed_at) AS us, (t0 + floor((t1 - t0) * 0.5)) * 1000000 AS half, (t0 + floor((t1 - t0) * 0.1)) * 1000000 AS tenth FROM chunks, t),
@@ -190,10 +178,9 @@ o AS (SELECT id, arg_max(h, i) AS oh FROM r WHERE us <= half GROUP BY id), n AS
 s AS (SELECT id, CASE WHEN o.id IS NULL THEN 'new' WHEN n.id IS NULL THEN 'deleted' WHEN oh = nh THEN 'unchanged' ELSE 'changed' END AS status FROM o FULL JOIN n USING (id))"""
 _SRC = "src AS (SELECT md5(text) AS key, CASE lang WHEN 'en' THEN 1 WHEN 'tr' THEN 2 ELSE 3 END::BIGINT AS src_ord, min(doc_id) AS doc_id FROM documents WHERE text IS NOT NULL GROUP BY 1, 2)"
 _KEYS = ", ".join(f"'{x}'" for x in G.KEYWORDS)
-_CALLS = rf"list_filter(regexp_extract_all(lower(coalesce(code, '')[1:4000]), '\b([a-z_]\w*)\s*\(', 1), lambda x: x NOT IN ({_KEYS}) AND x <> coalesce(lower(trim(regexp_extract(name, '[^.]*$'))), ''))"
+_CALLS = rf"list_filter(regexp_extract_all(lower(coalesce(code, '')), '\b([a-z_]\w*)\s*\(', 1), lambda x: x NOT IN ({_KEYS}) AND x <> coalesce(lower(trim(regexp_extract(name, '[^.]*$'))), ''))"
 # list_distinct keeps no order: the first place of each name does
-_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)[1:50]"
-_CALLS_WHOLE, _FIRST_WHOLE = _CALLS.replace("[1:4000]", ""), _FIRST.removesuffix("[1:50]")
+_FIRST = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
 
 ORACLE = {
     "index_diff": f"WITH {_STATES} SELECT id, status FROM s",
@@ -205,8 +192,9 @@ SELECT status, CASE status WHEN 'new' THEN true WHEN 'changed' THEN true WHEN 'u
 SELECT *, CASE WHEN n_vectors = 0 THEN 'none' WHEN n_vectors < n_docs THEN 'partial' ELSE 'full' END AS state FROM g""",
     "merge_first_wins": f"WITH {_SRC} SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY key ORDER BY src_ord) = 1",
     "merge_collisions": f"WITH {_SRC}, n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY src_ord) AS n FROM src) SELECT src_ord, count(*) AS n_rows, count(*) FILTER (n > 1) AS n_collisions FROM n GROUP BY 1",
-    "latest_per_key": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY requested_at DESC, request_id DESC) AS k, FROM index_requests), n AS (SELECT collection, count(DISTINCT request_id) AS n_requests FROM index_requests GROUP BY 1)
-SELECT collection, request_id, strftime(requested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS requested, n_requests FROM r JOIN n USING (collection) WHERE k = 1""",
+    "latest_per_key": f"""WITH {CUR}, r AS (SELECT *, row_number() OVER (PARTITION BY collection ORDER BY requested_at DESC, request_id DESC) AS k FROM index_requests WHERE collection IS NOT NULL), n AS (SELECT collection, count(DISTINCT request_id) AS n_requests FROM index_requests GROUP BY 1),
+b AS (SELECT r.collection, count(*) AS n_behind FROM r JOIN cur ON cur.collection = r.collection AND cur.indexed_at < r.requested_at WHERE k = 1 GROUP BY 1)
+SELECT collection, request_id, strftime(requested_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS requested, n_requests, coalesce(n_behind, 0) AS n_behind FROM r JOIN n USING (collection) LEFT JOIN b USING (collection) WHERE k = 1""",
     "retain_newest": "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 3",
     "upsert_rows": """SELECT CASE WHEN o_orderstatus = 'O' THEN 'X' ELSE o_orderstatus END AS o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1""",
     "exact_duplicates": "WITH g AS (SELECT md5(text) AS h, min(doc_id) AS class_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, class_id, copies FROM documents JOIN g ON md5(text) = h",
@@ -219,10 +207,7 @@ s AS (SELECT seq, 0 AS i, 'p/' || user_id AS path, CASE WHEN op = 'move' THEN 'd
 SELECT path, op, seq FROM s QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC, i DESC) = 1""",
     "hourly_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "extract_calls": f"WITH {CUR}, c AS (SELECT id, {_CALLS} AS l FROM cur WHERE kind = 'method') SELECT id, array_to_string({_FIRST.format('l')}, ',') AS calls FROM c",
-    "extract_calls_whole": f"WITH {CUR}, c AS (SELECT id, {_CALLS_WHOLE} AS l FROM cur WHERE kind = 'method') SELECT id, array_to_string({_FIRST_WHOLE.format('l')}, ',') AS calls FROM c",
-    "extract_imports": rf"""WITH {CUR}, c AS (SELECT id, string_split(regexp_extract(regexp_replace(code, '//[^\r\n]*|\{{[^}}]*\}}|\(\*[^*]*\*\)', ' ', 'g'), '(?is)\buses\b([^;]*)', 1), ',') AS l FROM cur WHERE kind = 'unithead' AND lang IS NULL),
-n AS (SELECT id, list_filter(list_transform(l, lambda x: regexp_extract(x, '([A-Za-z_][\w.]*)', 1)), lambda x: x <> '') AS n FROM c) SELECT id, array_to_string(n[1:60], ',') AS imports, len(n) AS n FROM n""",
-    "extract_imports_whole": f"WITH {CUR} SELECT id, coalesce(array_to_string(uses_list, ','), '') AS imports FROM cur WHERE kind = 'unithead'",
+    "extract_imports": f"WITH {CUR} SELECT id, coalesce(array_to_string(uses_list, ','), '') AS imports FROM cur WHERE kind = 'unithead'",
     "huge_chunks": f"WITH {CUR}, c AS (SELECT id, kind, (length(code) - length(replace(code, chr(10), '')))::BIGINT AS lines FROM cur) SELECT *, ceil((lines + 1) / 400)::BIGINT AS n_parts FROM c WHERE lines > 400",
     "safe_paths": r"""WITH u AS (SELECT DISTINCT collection, unit, replace(unit, '\', '/') AS p FROM chunks)
 SELECT collection, unit, coalesce(regexp_full_match(collection, '[A-Za-z0-9_.\-]{1,64}') AND collection NOT IN ('.', '..') AND p <> '' AND p NOT LIKE '%:%' AND p NOT LIKE '/%' AND NOT list_contains(string_split(p, '/'), '..'), false) AS safe, false AS escaped FROM u""",
@@ -234,5 +219,5 @@ w AS (SELECT user_id, event_id, k, true AS accepted, NULL::TIMESTAMPTZ AS older,
   FROM (SELECT w.*, n.event_id AS e2, n.k AS k2, n.ts AS t2, older IS NULL OR n.ts::TIMESTAMPTZ - older > INTERVAL 24 HOURS AS ok FROM w JOIN e n ON n.user_id = w.user_id AND n.k = w.k + 1) x JOIN e ON e.user_id = x.user_id AND e.k = x.k2)
 SELECT user_id, event_id, accepted FROM w""",
     "export_orders": """SELECT '{"o_orderkey":' || o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '","o_orderpriority":"' || o_orderpriority || '"}' AS value FROM orders""",
-    "export_rows": """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""",
+    "export_rows": f"""WITH {CUR} SELECT '{{"id":' || id || coalesce(',"kind":"' || kind || '"', ',"kind":null') || coalesce(',"line_start":' || line_start, ',"line_start":null') || coalesce(',"code_hash":"' || code_hash || '"', ',"code_hash":null') || '}}' AS value FROM cur""",
 }

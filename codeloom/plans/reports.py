@@ -56,9 +56,13 @@ def collection_summary(spark, d):
 
 
 def owners(spark, d):
-    """Owner names compare trimmed and in lower case."""
+    """Owners in any spelling, with their collections and the current chunks in them."""
     key = F.lower(F.regexp_replace(F.trim("owner_name"), r"\s+", " "))
-    return table(spark, d, "profiles").groupBy(key.alias("owner")).agg(F.count_distinct("collection").alias("n_collections"), F.count_distinct("owner_name").alias("n_spellings"))
+    p = table(spark, d, "profiles").select(key.alias("owner"), "collection", "owner_name")
+    n = cur(spark, d, ["collection"]).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    chunks = p.select("owner", "collection").distinct().join(n, "collection").groupBy("owner").agg(F.sum("n").alias("n_chunks"))
+    own = p.groupBy("owner").agg(F.count_distinct("collection").alias("n_collections"), F.count_distinct("owner_name").alias("n_spellings"))
+    return own.alias("o").join(chunks.alias("c"), F.expr("o.owner <=> c.owner"), "left").select("o.owner", "n_collections", "n_spellings", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
 
 
 def user_sessions(spark, d):
@@ -76,19 +80,11 @@ def markdown_blocks(spark, d):
 
 
 def translation_overlay(spark, d):
-    """Texts of a collection and source in English, with the German one of the same pair where there is one."""
-    docs = table(spark, d, "documents").where("text is not null and collection is not null").select("doc_id", "collection", F.lower(F.trim("source")).alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
-    base = docs.where("lang = 'en'").groupBy("collection", "source").agg(F.min(F.struct("doc_id", "text")).alias("m")).select("collection", "source", F.col("m.text").alias("body"))
-    t = docs.select("collection", "source", "lang", F.col("text").alias("body"))
-    return D.overlay(base, t, ["collection", "source"], "body", "de").select("collection", "source", "translated", F.md5("body").alias("body"))
-
-
-def translation_overlay_whole(spark, d):
-    """Every English document of a collection, with the German one of the same collection, source (in any spelling) and place among them, where there is one."""
+    """Every English document, with the German one of the same collection, source (in any spelling) and place among them, where there is one; without collection or source there is none."""
     from codeloom.operators.skew import ranked
 
     source = F.regexp_replace(F.lower(F.trim("source")), r"[\s-]+", "_")
-    docs = table(spark, d, "documents").where("text is not null and collection is not null and source is not null").select("doc_id", "collection", source.alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "collection", source.alias("source"), F.lower(F.trim("lang")).alias("lang"), "text")
     docs = docs.select("doc_id", "collection", "source", "lang", F.md5("text").alias("body")).where("lang in ('en', 'de')")
     r = ranked(docs, ["collection", "source", "lang"], ["doc_id"])
     base, key = r.where("lang = 'en'").drop("lang"), ["collection", "source", "place"]
@@ -96,11 +92,6 @@ def translation_overlay_whole(spark, d):
 
 
 def prompt_windows(spark, d):
-    """With the first 60 characters of the escaped text; prompt_windows_whole has all of it."""
-    return prompt_windows_whole(spark, d).withColumn("escaped", F.substring("escaped", 1, 60))
-
-
-def prompt_windows_whole(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     return wide(docs.select("doc_id", T.context_window(F.char_length("text") * 20, F.lit(600)).alias("num_ctx"), T.html_escape(F.col("text")).alias("escaped")))
 
@@ -144,7 +135,7 @@ def idle_customers(spark, d):
     return c.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance"))
 
 
-QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, translation_overlay_whole, prompt_windows, prompt_windows_whole, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
+QUERIES = {f.__name__: f for f in (search_analytics, top_queries, latency, retrieval_metrics, missing_collections, collection_summary, owners, user_sessions, chat_history, markdown_blocks, translation_overlay, prompt_windows, text_sizes, pricing_summary, region_volume, brand_rollup, top_customers, idle_customers)}
 
 _LOG = '''log AS (SELECT event_type AS mode, value AS ms, event_type = 'error' AS zero, ts AS "at", user_id, props->>'$.k' AS q FROM events)'''
 ORACLE = {
@@ -160,7 +151,9 @@ FROM (SELECT g.q_id, g.collection, r FROM g LEFT JOIN f USING (q_id)) GROUP BY R
     "missing_collections": "SELECT DISTINCT collection FROM (SELECT collection FROM eval_items UNION ALL SELECT collection FROM index_requests) WHERE collection IS NULL OR collection NOT IN (SELECT collection FROM chunks WHERE collection IS NOT NULL)",
     "collection_summary": f"""WITH {CUR}, c AS (SELECT collection, count(*) AS n_chunks, count(*) FILTER (kind = 'method') AS n_methods FROM cur GROUP BY 1), p AS (SELECT collection, max(priority)::BIGINT AS priority, min(coalesce(main_lang, 'pascal')) AS main_lang FROM profiles GROUP BY 1),
 r AS (SELECT collection, arg_max(request_id, (requested_at, request_id)) AS last_request FROM index_requests GROUP BY 1) SELECT * FROM c LEFT JOIN p USING (collection) LEFT JOIN r USING (collection)""",
-    "owners": r"SELECT lower(regexp_replace(trim(owner_name), '\s+', ' ', 'g')) AS owner, count(DISTINCT collection) AS n_collections, count(DISTINCT owner_name) AS n_spellings FROM profiles GROUP BY 1",
+    "owners": rf"""WITH {CUR}, p AS (SELECT lower(regexp_replace(trim(owner_name), '\s+', ' ', 'g')) AS owner, collection, owner_name FROM profiles), n AS (SELECT collection, count(*) AS n FROM cur GROUP BY 1),
+c AS (SELECT owner, sum(n)::BIGINT AS n_chunks FROM (SELECT DISTINCT owner, collection FROM p) JOIN n USING (collection) GROUP BY 1), o AS (SELECT owner, count(DISTINCT collection) AS n_collections, count(DISTINCT owner_name) AS n_spellings FROM p GROUP BY 1)
+SELECT o.owner, n_collections, n_spellings, coalesce(n_chunks, 0) AS n_chunks FROM o LEFT JOIN c ON o.owner IS NOT DISTINCT FROM c.owner""",
     "user_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS session_end, count(*) AS n_events FROM s GROUP BY user_id, s""",
     "chat_history": """WITH b AS (SELECT user_id, concat_ws(' ', event_type, props) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back FROM events) SELECT user_id, 5 - back AS turn, t[1:400] AS turn_text FROM b WHERE back <= 4""",
@@ -168,13 +161,10 @@ SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, strftim
 s AS (SELECT doc_id, unnest(parts) AS body, generate_subscripts(parts, 1) - 1 AS part FROM p), l AS (SELECT doc_id, part, string_split(body, chr(10)) AS ls FROM s), x AS (SELECT doc_id, part, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l)
 SELECT doc_id, part, pos, CASE WHEN part % 2 = 1 THEN 'code' WHEN regexp_matches(line, '^### ') THEN 'h3' WHEN regexp_matches(line, '^## ') THEN 'h2' WHEN regexp_matches(line, '^# ') THEN 'h1' WHEN regexp_matches(line, '^[ \t]*[-*] ') THEN 'li' ELSE 'p' END AS kind,
 CASE WHEN part % 2 = 1 THEN line ELSE trim(regexp_replace(line, '^(#{1,3} |[ \t]*[-*] )', '')) END AS content FROM x WHERE trim(line) <> ''""",
-    "translation_overlay": """WITH d AS (SELECT doc_id, collection, lower(trim(source)) AS source, lower(trim(lang)) AS lang, text FROM documents WHERE text IS NOT NULL AND collection IS NOT NULL),
-b AS (SELECT collection, source, arg_min(text, doc_id) AS body FROM d WHERE lang = 'en' GROUP BY 1, 2), t AS (SELECT collection, source, min(text) AS t FROM d WHERE lang = 'de' GROUP BY 1, 2)
-SELECT b.collection, b.source, t.t IS NOT NULL AS translated, md5(coalesce(t.t, body)) AS body FROM b LEFT JOIN t ON t.collection = b.collection AND t.source = b.source""",
-    "translation_overlay_whole": r"""WITH r AS (SELECT doc_id, collection, regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source, lower(trim(lang)) AS lang, md5(text) AS body FROM documents WHERE text IS NOT NULL AND collection IS NOT NULL AND source IS NOT NULL),
+    "translation_overlay": r"""WITH r AS (SELECT doc_id, collection, regexp_replace(lower(trim(source)), '[\s-]+', '_', 'g') AS source, lower(trim(lang)) AS lang, md5(text) AS body FROM documents WHERE text IS NOT NULL),
 p AS (SELECT *, row_number() OVER (PARTITION BY collection, source, lang ORDER BY doc_id) AS place FROM r WHERE lang IN ('en', 'de'))
 SELECT e.doc_id, g.body IS NOT NULL AS translated, coalesce(g.body, e.body) AS body FROM p e LEFT JOIN p g ON g.collection = e.collection AND g.source = e.source AND g.place = e.place AND g.lang = 'de' WHERE e.lang = 'en'""",
-    "prompt_windows": """SELECT doc_id, greatest(4096, least(16384, floor(length(text) * 20 / 3.5) + 600 + 256))::BIGINT AS num_ctx, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')[1:60] AS escaped FROM documents WHERE text IS NOT NULL""",
+    "prompt_windows": """SELECT doc_id, greatest(4096, least(16384, floor(length(text) * 20 / 3.5) + 600 + 256))::BIGINT AS num_ctx, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS escaped FROM documents WHERE text IS NOT NULL""",
     "text_sizes": """WITH d AS (SELECT coalesce(nullif(lower(regexp_extract(trim(lang), '^([A-Za-z]{2})(?:-.*)?$', 1)), ''), 'und') AS lang2, length(text) AS n, n_chars FROM documents)
 SELECT lang2, count(*) AS n, coalesce(sum(n), 0)::BIGINT AS chars, count(*) FILTER (coalesce(n, -1) <> coalesce(n_chars, -1)) AS n_wrong FROM d GROUP BY ROLLUP (lang2)""",
     "pricing_summary": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
@@ -184,4 +174,3 @@ JOIN nation nc ON c_nationkey = nc.n_nationkey JOIN region rc ON nc.n_regionkey
     "top_customers": "WITH o AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders GROUP BY 1) SELECT c_mktsegment, o_custkey, total, n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, o_custkey) AS place FROM o JOIN customer ON o_custkey = c_custkey QUALIFY place <= 10",
     "idle_customers": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS avg_balance FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1-%') GROUP BY 1",
 }
-ORACLE["prompt_windows_whole"] = ORACLE["prompt_windows"].replace("[1:60]", "")

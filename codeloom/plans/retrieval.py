@@ -16,8 +16,11 @@ def tokenize_names(spark, d):
 
 
 def name_boost(spark, d):
-    n = table(spark, d, "eval_items").select("item_id", "question", F.explode("expected_names").alias("name")).distinct()
-    return n.select("item_id", "name", F.round(T.name_boost(T.identifier_tokens(F.col("question")), T.identifier_tokens(F.col("name"))), 6).alias("boost"))
+    """The names of a question's collection that share a word with it, with their boost."""
+    q = table(spark, d, "eval_items").select("item_id", "collection", T.identifier_tokens(F.col("question")).alias("q")).distinct()
+    n = table(spark, d, "chunks").select("collection", "name").where("name is not null").distinct().withColumn("n", T.identifier_tokens(F.col("name")))
+    j = q.join(n, "collection").where(F.arrays_overlap("q", "n"))
+    return j.select("item_id", "name", F.round(T.name_boost(F.col("q"), F.col("n")), 6).alias("boost"))
 
 
 def scalar_text(spark, d):
@@ -53,49 +56,27 @@ def find_similar(spark, d):
 
 
 def similar_above(spark, d):
-    """The three nearest of at least 0.3; similar_above_whole has every link."""
-    return wide(S.knn(*_vectors(spark, d), top=3, min_score=0.3, drop_self=True))
-
-
-def similar_above_whole(spark, d):
     """Every link of at least 0.3 from the query set to all rows."""
     return wide(S.knn(*_vectors(spark, d), top=None, min_score=0.3, drop_self=True))
 
 
-def _lists(spark, d, whole):
-    """Dense and sparse lists of documents, for the documents with a vector whose id is divisible by 100; the sparse query is the whole text or its first 120 characters."""
-    q_text = F.col("text") if whole else F.substring("text", 1, 120)
+def _lists(spark, d):
+    """Dense and sparse lists of documents, for the documents with a vector whose id is divisible by 100; the sparse query is the whole text."""
     docs = table(spark, d, "documents")
     v, q = _vectors(spark, d)
-    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), q_text.alias("q_text")).join(q.select("q_id"), "q_id", "left_semi")
+    texts = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("q_id"), F.col("text").alias("q_text")).join(q.select("q_id"), "q_id", "left_semi")
     dense = S.knn(v.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi"), q.join(docs.select(F.col("doc_id").alias("q_id")), "q_id", "left_semi"), top=S.POOL)
     sparse = S.bm25(docs, texts)
     return dense.select("q_id", F.lit("dense").alias("source"), "id", "rank").union(sparse.select("q_id", F.lit("sparse").alias("source"), F.col("doc_id").alias("id"), "rank"))
 
 
 def hybrid_rrf(spark, d):
-    return _rrf(_lists(spark, d, whole=False))
-
-
-def hybrid_rrf_whole(spark, d):
-    return _rrf(_lists(spark, d, whole=True))
-
-
-def _rrf(lists):
-    f = S.rank_fused(S.fuse(lists))
+    f = S.rank_fused(S.fuse(_lists(spark, d)))
     return wide(S.page(f, 0, 8).select("q_id", "id", F.round("score", 6).alias("score"), "dense_rank", "sparse_rank", "rank", "total", "has_more"))
 
 
 def hybrid_modes(spark, d):
-    return _modes(_lists(spark, d, whole=False))
-
-
-def hybrid_modes_whole(spark, d):
-    return _modes(_lists(spark, d, whole=True))
-
-
-def _modes(lists):
-    out = None
+    lists, out = _lists(spark, d), None
     for mode in ("dense", "sparse", "anything"):
         r = S.rank_fused(S.fuse(lists, S.mode_weights(mode))).where("rank <= 5").select(F.lit(mode).alias("mode"), "q_id", "id", "rank")
         out = r if out is None else out.union(r)
@@ -151,7 +132,7 @@ def paginate(spark, d):
     return wide(S.page(_hits(spark, d), 10, 10).select("q_id", "id", "rank", "total", "has_more"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, similar_above_whole, hybrid_rrf, hybrid_rrf_whole, hybrid_modes, hybrid_modes_whole, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
+QUERIES = {f.__name__: f for f in (tokenize_names, name_boost, scalar_text, term_postings, sparse_search, dense_knn, find_similar, similar_above, hybrid_rrf, hybrid_modes, search_filters, priority_boost, compare_multiplier, decl_dedup, diversify, rerank_blend, paginate)}
 
 _IDENT = r"list_distinct(regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce({0}, ''), '([\p{{Ll}}\p{{N}}])(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}}+)(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g')), '[\p{{L}}\p{{N}}]+'))"
 _TOK = r"regexp_extract_all(lower(replace(coalesce({0}, ''), 'İ', 'i')), '[\p{{L}}\p{{N}}]+')"
@@ -186,7 +167,7 @@ FROM lists JOIN (VALUES {weights}) AS t(source, w) USING (source) GROUP BY ALL""
 
 _LISTS = f"""{_VEC}, dv AS (SELECT * FROM vec WHERE id IN (SELECT doc_id FROM documents)),
 dn AS (SELECT q.id AS q_id, x.id AS id, row_number() OVER (PARTITION BY q.id ORDER BY {_COS} DESC, x.id) AS rank FROM dv q, dv x WHERE q.id % 100 = 0 QUALIFY rank <= 200),
-{_bm25("SELECT doc_id AS id, text AS body FROM documents", "SELECT doc_id AS q_id, text[1:120] AS q_text FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT id FROM vec)")},
+{_bm25("SELECT doc_id AS id, text AS body FROM documents", "SELECT doc_id AS q_id, text AS q_text FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT id FROM vec)")},
 lists AS (SELECT q_id, 'dense' AS source, id, rank FROM dn UNION ALL SELECT q_id, 'sparse', id, rank FROM hits)"""
 _ORDER = "ORDER BY round(score, 9) DESC, coalesce(dense_rank, 2147483647), coalesce(sparse_rank, 2147483647), id"
 _BODY = "SELECT id, concat_ws(' ', name, doc, code) AS body FROM cur"
@@ -194,8 +175,8 @@ _HITS = f"WITH {CUR}, {_bm25(_BODY, _PASSAGES)}, found AS (SELECT * FROM hits JO
 
 ORACLE = {
     "tokenize_names": f"SELECT name, array_to_string(list_sort({_IDENT.format('name')}), ' ') AS tokens FROM (SELECT DISTINCT name FROM chunks)",
-    "name_boost": f"""WITH n AS (SELECT DISTINCT item_id, question, unnest(expected_names) AS name FROM eval_items), t AS (SELECT item_id, name, {_IDENT.format("question")} AS q, {_IDENT.format("name")} AS n FROM n)
-SELECT item_id, name, round({_BOOST.format(q="q", n="n")}, 6) AS boost FROM t""",
+    "name_boost": f"""WITH q AS (SELECT DISTINCT item_id, collection, {_IDENT.format("question")} AS q FROM eval_items), c AS (SELECT collection, name, {_IDENT.format("name")} AS n FROM (SELECT DISTINCT collection, name FROM chunks WHERE name IS NOT NULL))
+SELECT item_id, name, round({_BOOST.format(q="q", n="n")}, 6) AS boost FROM q JOIN c USING (collection) WHERE len(list_intersect(q, n)) > 0""",
     "scalar_text": r"""WITH c AS (SELECT DISTINCT unit, name, replace(unit, '\', '/') AS p FROM chunks), f AS (SELECT *, regexp_extract(p, '[^/]*$') AS f,
 regexp_replace(regexp_replace(lower(coalesce(name, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM c)
 SELECT unit, name, lower(trim(regexp_extract(name, '[^.]*$'))) AS bare, trim(split_part(name, '=', 1)) AS head, CASE WHEN s = '' THEN 'section' ELSE s END AS slug,
@@ -205,8 +186,7 @@ SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS cf, max(n)::BIGINT AS lo
     "sparse_search": f"WITH {_bm25('SELECT doc_id AS id, text AS body FROM documents', _PASSAGES)} SELECT q_id, id AS doc_id, score, rank FROM hits",
     "dense_knn": _knn(10),
     "find_similar": _knn(8, "q.id <> x.id"),
-    "similar_above": _knn(3, f"q.id <> x.id AND {_COS} >= 0.3"),
-    "similar_above_whole": f"WITH {_VEC} SELECT q.id AS q_id, x.id AS id, {_COS} AS score FROM vec q, vec x WHERE q.id % 100 = 0 AND q.id <> x.id AND {_COS} >= 0.3",
+    "similar_above": f"WITH {_VEC} SELECT q.id AS q_id, x.id AS id, {_COS} AS score FROM vec q, vec x WHERE q.id % 100 = 0 AND q.id <> x.id AND {_COS} >= 0.3",
     "hybrid_rrf": f"""WITH {_LISTS}, f AS ({_fused("('dense', 1.0), ('sparse', 0.6)")}), r AS (SELECT *, row_number() OVER (PARTITION BY q_id {_ORDER}) AS rank, count(*) OVER (PARTITION BY q_id) AS total FROM f)
 SELECT q_id, id, round(score, 6) AS score, dense_rank, sparse_rank, rank, total, total > 8 AS has_more FROM r WHERE rank <= 8""",
     "hybrid_modes": f"WITH {_LISTS} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, q_id, id, row_number() OVER (PARTITION BY q_id {_ORDER}) AS rank FROM ({_fused(w)}) QUALIFY rank <= 5" for m, w in (("dense", "('dense', 1.0)"), ("sparse", "('sparse', 1.0)"), ("anything", "('dense', 1.0), ('sparse', 0.6)"))),
@@ -227,6 +207,3 @@ s AS (SELECT *, CASE WHEN rank <= 50 THEN round(1 / (1 + exp(-(4.0 * common / le
 SELECT q_id, id, rank, round(sc, 6) AS rerank_score, row_number() OVER (PARTITION BY q_id ORDER BY sc DESC NULLS LAST, rank) AS new_rank FROM s""",
     "paginate": f"""{_HITS}, t AS (SELECT q_id, id, rank, count(*) OVER (PARTITION BY q_id) AS total FROM found) SELECT *, total > 20 AS has_more FROM t WHERE rank > 10 AND rank <= 20""",
 }
-
-# the whole text of a document as its sparse query
-ORACLE |= {f"{k}_whole": ORACLE[k].replace("text[1:120] AS q_text", "text AS q_text") for k in ("hybrid_rrf", "hybrid_modes")}

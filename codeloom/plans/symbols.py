@@ -13,7 +13,7 @@ from codeloom.operators import lifecycle as L
 from codeloom.operators import search as S
 from codeloom.operators import symbols as Y
 from codeloom.plans.common import CUR, cur, wide
-from codeloom.plans.graphs import _EDGES_WHOLE, _U
+from codeloom.plans.graphs import _EDGES, _U
 from codeloom.plans.retrieval import _BOOST, _IDENT, _ORDER, _bm25, _fused
 from codeloom.plans.reports import ORACLE as _REPORTS
 from codeloom.plans.training import _TREE
@@ -169,10 +169,10 @@ inh1 AS (SELECT * FROM cls WHERE edge = 'inherits'), imp AS (SELECT * FROM cls W
 ch AS (SELECT collection, parent AS name, {_SET.format('child')} AS children FROM inh1 GROUP BY 1, 2), gc AS (SELECT a.collection, a.parent AS name, {_SET.format('b.child')} AS grandchildren FROM inh1 a JOIN inh1 b ON a.collection = b.collection AND a.child = b.parent GROUP BY 1, 2),
 im AS (SELECT collection, child AS name, {_SET.format('parent')} AS implements FROM imp GROUP BY 1, 2), ir AS (SELECT collection, parent AS name, {_SET.format('child')} AS implementers FROM imp GROUP BY 1, 2)
 SELECT *, CASE WHEN coalesce(ancestors, children, implements, implementers) IS NULL THEN 'no relations known' END AS note FROM base LEFT JOIN anc USING (collection, name) LEFT JOIN ch USING (collection, name) LEFT JOIN gc USING (collection, name) LEFT JOIN im USING (collection, name) LEFT JOIN ir USING (collection, name)""",
-    "relations": f"""WITH {_EDGES_WHOLE}, k AS (SELECT collection, caller_id AS id, 'calls' AS kind, callee_id AS other FROM edges UNION ALL SELECT collection, callee_id, 'called_by', caller_id FROM edges),
+    "relations": f"""WITH {_EDGES}, k AS (SELECT collection, caller_id AS id, 'calls' AS kind, callee_id AS other FROM edges UNION ALL SELECT collection, callee_id, 'called_by', caller_id FROM edges),
 u AS (SELECT *, {_U} AS u FROM cur), near AS (SELECT m.collection, m.id, 'same_unit' AS kind, o.id AS other, row_number() OVER (PARTITION BY m.collection, m.id ORDER BY coalesce(o.line_start, 0), o.id) AS place FROM u m JOIN u o ON o.collection = m.collection AND o.u = m.u AND o.id <> m.id WHERE m.kind = 'method')
 SELECT *, row_number() OVER (PARTITION BY collection, id, kind ORDER BY other) AS place FROM k UNION ALL SELECT * FROM near WHERE place <= 200""",
-    "impact_levels": f"""WITH RECURSIVE {_EDGES_WHOLE}, inh AS{_TREE.split("inh AS", 1)[1]},
+    "impact_levels": f"""WITH RECURSIVE {_EDGES}, inh AS{_TREE.split("inh AS", 1)[1]},
 hit AS (SELECT collection, id, kind, lower(trim(name)) AS name FROM (SELECT *, {_U} AS u FROM cur) WHERE regexp_matches(lower(regexp_extract(u, '[^/]*$')), '^[abc]')),
 l1 AS (SELECT DISTINCT l.src_collection AS collection, l.c AS name FROM link l JOIN hit h ON h.collection = l.src_collection AND h.name = l.p AND h.kind = 'type'), l2 AS (SELECT DISTINCT l.src_collection AS collection, l.c AS name FROM link l JOIN l1 ON l1.collection = l.src_collection AND l1.name = l.p),
 ids AS (SELECT collection, lower(trim(name)) AS name, min(id) AS id FROM cur WHERE kind = 'type' GROUP BY 1, 2),

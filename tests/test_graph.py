@@ -17,9 +17,9 @@ def test_edges_are_whole(spark):
     assert G.called_by(many, cap=None).first().callers == list(range(20))
 
 
-def test_whole_twins_have_no_caps():
+def test_twins_have_no_caps():
     for name, sql in {**graphs.ORACLE, **indexing.ORACLE}.items():
-        if name.endswith("_whole"):
+        if name in ("extract_calls", "call_edges", "called_by", "impact", "references", "context_pack", "read_unit"):
             assert not any(x in sql for x in ("[1:4000]", "[1:50]", "<= 8", "<= 16"))
 
 
@@ -30,7 +30,7 @@ def test_units_are_read_whole(spark, tmp_path):
     df = spark.createDataFrame(rows, "id bigint, collection string, unit string, kind string, name string, line_start int, code string")
     full = df.selectExpr("*", "cast(null as string) as doc", "cast(null as string) as lang", "array('') as uses_list", "array('') as extends_list", "timestamp'2024-01-01' as indexed_at")
     full.write.parquet(f"{tmp_path}/chunks.parquet")
-    r = graphs.read_unit_whole(spark, str(tmp_path)).first()
+    r = graphs.read_unit(spark, str(tmp_path)).first()
     assert (r.n_chunks, r.n_used, r.truncated) == (4, 4, False)
     long = df.selectExpr("collection", "unit", "id", "name", "line_start", "repeat(code, 300) as code")
     r = documents.read_unit(long, cap=None).first()

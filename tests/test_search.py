@@ -127,9 +127,9 @@ def test_hybrid_and_prompts_use_the_whole_text(spark, tmp_path):
     texts = {100: "word " * 40 + "needle", 101: "needle", 102: "x" * 70 + "<&>"}
     spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, [1.0, 2.0]) for i in texts], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    found = {r.id: r.sparse_rank for r in retrieval.hybrid_rrf_whole(spark, str(tmp_path)).collect()}
+    found = {r.id: r.sparse_rank for r in retrieval.hybrid_rrf(spark, str(tmp_path)).collect()}
     assert found[101] is not None
     assert found[102] is None
-    modes = {(r.mode, r.id) for r in retrieval.hybrid_modes_whole(spark, str(tmp_path)).collect()}
+    modes = {(r.mode, r.id) for r in retrieval.hybrid_modes(spark, str(tmp_path)).collect()}
     assert ("sparse", 101) in modes
-    assert {r.doc_id: r.escaped for r in reports.prompt_windows_whole(spark, str(tmp_path)).collect()}[102] == "x" * 70 + "&lt;&amp;&gt;"
+    assert {r.doc_id: r.escaped for r in reports.prompt_windows(spark, str(tmp_path)).collect()}[102] == "x" * 70 + "&lt;&amp;&gt;"
