@@ -9,13 +9,18 @@ repeats by systematic rounding.
 from __future__ import annotations
 
 import base64
+import itertools
 import math
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,43 +42,116 @@ _SIZES = 1023
 _SLICES = 64
 # fixed value: the published pre-tokenisation pattern of the vocabulary
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WIDE = re.compile(r"\s | \s")
-# white space as the vocabulary's pattern has it, and what stands up to the next; no token reaches from the latter into the former
-_RUNS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+# white space as the vocabulary's pattern has it; a gap is all of it between two words, but for the single blank
+_SPACE = r"[^\S\x1c-\x1f]"
+_GAPS = re.compile(rf"({_SPACE}(?:(?<! )|(?={_SPACE})){_SPACE}*)")
 _WORDS = re.compile(r"\w+")
-_CACHE = 400_000
+#: words and characters that a vocabulary holds before it begins anew; and texts and characters that are read at a time
+_CACHE, _CACHE_CHARS = 400_000, 1 << 25
+_TEXTS, _CHARS = 64, 1 << 18
 
 
-class _Cache(dict):
-    """Computes what it doesn't hold, and keeps it up to a size; what isn't kept is computed again."""
+class _Gaps(dict):
+    """What stands for the white space before a word: its tokens, and a line feed unless its last blank is the word's."""
 
-    def __init__(self, compute):
+    def __init__(self, encode):
         super().__init__()
-        self.compute = compute
+        self.encode, self.chars = encode, 0
 
-    def __missing__(self, key):
-        value = self.compute(key)
-        if len(self) < _CACHE:
-            self[key] = value
-        return value
+    def __missing__(self, gap: str) -> str:
+        self.chars += len(gap)
+        n, last = len(self.encode(gap[:-1])), gap[-1]
+        self[gap] = mark = f" \v{n} " if last == " " else f" \v{n + len(self.encode(last))} \n"
+        return mark
 
 
-class TokenCounter:
-    """Counts tokens of a tiktoken vocabulary, piece by piece with a cache.
+class Words:
+    """Numbers the words that stand between white space; the tokens and features of each are worked out once, and added up for many texts at once.
 
-    A text is cut before each blank, where no token can reach across; one with blanks beside other white space before each run of white space.
+    A word's tokens are those behind a blank. A line feed before a word tells that it begins a text or follows other white space;
+    a vertical tab and a number stand for so many tokens of white space. Without a tokenizer only features are known.
     """
 
-    _loaded: dict[str, TokenCounter] = {}
-
-    def __init__(self, path: str):
-        import tiktoken
+    def __init__(self, path: str | None = None):
+        self.encode = None
+        if path:
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.encode = tiktoken.Encoding("counter", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.begins = np.zeros(max(ranks.values()) + 1, bool)
+            self.begins[[n for piece, n in ranks.items() if piece[:1] in (b" ", b"\n")]] = True
+        self.seen = np.zeros(_TEXTS * FEATURES, bool)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.numbers, self.gaps, self.chars = defaultdict(itertools.count().__next__), _Gaps(self.encode), 0
+        self.tokens, self.features, self.ends = array("q"), array("q"), array("q", [0])
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.encode:
+            return text.split()
+        parts = _GAPS.split(text)
+        if len(parts) > 1:
+            if not parts[-1]:
+                parts[-2:] = [f" \v{len(self.encode(parts[-2]))}"]
+            parts[1:-1:2] = map(self.gaps.__getitem__, parts[1:-1:2])
+            text = "".join(parts)
+        return ("\n" + text).split(" ")
+
+    def _learn(self) -> None:
+        """Tokens and features of the words that were numbered since the last time."""
+        new = list(itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.ends) + 1))[::-1]
+        if self.encode and new:
+            known = {i: int(w[1:] or 0) if w else 1 for i, w in enumerate(new) if w in ("", "\n") or w[0] == "\v"}
+            # no token reaches across a blank or line feed before a word, so one encoding counts them all
+            got = np.array(self.encode("".join([" x" if i in known else w if w[0] == "\n" else " " + w for i, w in enumerate(new)])))
+            n = np.diff(np.flatnonzero(self.begins[got]), append=len(got)) - [w[:1] == "\n" for w in new]
+            n[list(known)] = list(known.values())
+            self.tokens.frombytes(n.astype(np.int64).tobytes())
+        for word in new:
+            low = word.lower()
+            if low.isalnum():
+                self.features.append(zlib.crc32(low.encode()) % FEATURES)
+            else:
+                self.features.extend([zlib.crc32(w.encode()) % FEATURES for w in _WORDS.findall(low)] if low[:1] != "\v" else ())
+            self.ends.append(len(self.features))
+        self.chars += sum(map(len, new))
+
+    def read(self, texts: list[str]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """For stretches of the texts: which they are, the tokens of each, and the features that each has, as text within the stretch and feature, in order and each once."""
+        at = 0
+        while at < len(texts):
+            if len(self.numbers) > _CACHE or self.chars + self.gaps.chars > _CACHE_CHARS:
+                self._begin()
+            begin, chars, number = at, 0, self.numbers.__getitem__
+            stretch = []
+            while at < len(texts) and at < begin + _TEXTS and chars < _CHARS:
+                words = self._cut(texts[at])
+                stretch.append(np.fromiter(map(number, words), np.int64, len(words)))
+                chars += len(texts[at])
+                at += 1
+            self._learn()
+            many, words = np.array([len(x) for x in stretch]), np.concatenate(stretch)
+            tokens = np.zeros(len(many), np.int64)
+            if self.encode:
+                sums = np.append(0, np.cumsum(np.frombuffer(self.tokens, np.int64)[words]))
+                tokens = np.diff(sums[np.append(0, np.cumsum(many))])
+            first, end = np.frombuffer(self.ends, np.int64)[words], np.frombuffer(self.ends, np.int64)[words + 1]
+            n = end - first
+            if n.any():
+                place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                self.seen[np.repeat(np.repeat(np.arange(len(many)) * FEATURES, many), n) + np.frombuffer(self.features, np.int64)[place]] = True
+            found = np.flatnonzero(self.seen)
+            self.seen[found] = False
+            yield slice(begin, at), tokens, found // FEATURES, found % FEATURES
+
+
+class TokenCounter(Words):
+    """Counts tokens of a tiktoken vocabulary, word by word."""
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("counter", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.runs = _Cache(lambda piece: len(self.encode(piece)))
-        self.words = _Cache(lambda word: len(self.encode(" " + word)))
+    _loaded: dict[str, TokenCounter] = {}
 
     @classmethod
     def get(cls, path: str) -> TokenCounter:
@@ -82,12 +160,7 @@ class TokenCounter:
         return cls._loaded[path]
 
     def __call__(self, text: str | None) -> int:
-        if not text:
-            return 0
-        if _WIDE.search(text):
-            return sum(map(self.runs.__getitem__, _RUNS.findall(text)))
-        head, *rest = text.split(" ")
-        return self.runs[head] + sum(map(self.words.__getitem__, rest))
+        return sum(int(tokens.sum()) for _, tokens, _, _ in self.read([text])) if text else 0
 
 
 def source_name(c: Column) -> Column:
@@ -95,16 +168,6 @@ def source_name(c: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_"), F.lit(""))
 
 
-def _word_features() -> _Cache:
-    """Feature numbers of the words in a piece without white space."""
-    return _Cache(lambda piece: frozenset(zlib.crc32(w.encode()) % FEATURES for w in _WORDS.findall(piece.lower())))
-
-
-def _features(text: str, cache: _Cache) -> np.ndarray:
-    at = set().union(*map(cache.__getitem__, set(text.split())))
-    return np.fromiter(at, np.int64, len(at))
-
-
 class Classifier:
     """Bernoulli-style naive Bayes on hashed words: which words a text has, not how often. Text evidence is divided by a fitted temperature."""
 
@@ -115,22 +178,30 @@ class Classifier:
         self.on, self.off = (np.log(p) - np.log1p(-p)).T.copy(), np.log1p(-p).sum(axis=1)
         self.prior = np.log(rows / rows.sum())
 
-    def evidence(self, texts: list[str], cache: _Cache) -> np.ndarray:
-        return self.off + np.array([self.on[_features(t, cache)].sum(axis=0) for t in texts]).reshape(len(texts), len(self.labels))
+    def evidence(self, texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods, texts x labels, and the tokens of each text."""
+        out, tokens = np.tile(self.off, (len(texts), 1)), np.zeros(len(texts), np.int64)
+        for at, n, text, feature in words.read(texts):
+            tokens[at] = n
+            begins = np.flatnonzero(np.diff(text, prepend=-1))
+            if len(begins):
+                out[at.start + text[begins]] += np.add.reduceat(self.on[feature], begins, axis=0)
+        return out, tokens
 
     def posterior(self, text: str, label: str | None = None) -> np.ndarray:
-        return self.posteriors([text], [label], _word_features())[0]
+        return self.posteriors([text], [label], Words())[0][0]
 
-    def posteriors(self, texts: list[str], given: list[str | None], cache: _Cache) -> np.ndarray:
-        """Texts x labels; a given label counts if it is one of the model's."""
+    def posteriors(self, texts: list[str], given: list[str | None], words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Posteriors, texts x labels, and the tokens of each text; a given label counts if it is one of the model's."""
         n = len(self.labels)
-        s = self.prior + self.evidence(texts, cache) / self.temperature
+        evidence, tokens = self.evidence(texts, words)
+        s = self.prior + evidence / self.temperature
         if n > 1:
             at = {x: i for i, x in enumerate(self.labels)}
             own = np.array([at.get(x, -1) for x in given], int)
             s[own >= 0] += np.where(np.arange(n) == own[own >= 0, None], math.log(LABEL_TRUST), math.log((1 - LABEL_TRUST) / (n - 1)))
         e = np.exp(s - s.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return e / e.sum(axis=1, keepdims=True), tokens
 
 
 def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Classifier:
@@ -141,40 +212,40 @@ def fit(documents: DataFrame, labels: list[str], fit_rows: int = FIT_ROWS) -> Cl
     d = d.where(F.pmod(F.xxhash64("doc_id"), F.lit(m)) == 0)
     held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(5)) == 0
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, cache = {}, _word_features()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, words = np.zeros((len(labels), FEATURES + 1), np.int64), Words()
         for b in batches:
-            for s, t in zip(b["source"], b["text"]):
-                c = total.setdefault(s, np.zeros(FEATURES + 1, np.int64))
-                c[_features(t, cache)] += 1
-                c[FEATURES] += 1
-        for s, c in total.items():
-            at = np.flatnonzero(c)
-            yield pd.DataFrame({"source": s, "feature": at, "n": c[at]})
-
-    got = d.where(~held).select("source", "text").mapInPandas(count, "source string, feature bigint, n bigint").groupBy("source", "feature").agg(F.sum("n").alias("n")).toPandas()
-    known = [x for x in labels if x in set(got["source"])]
+            own = np.array([labels.index(x) for x in b.column("source").to_pylist()], int)
+            np.add.at(total[:, FEATURES], own, 1)
+            for at, _, text, feature in words.read(b.column("text").to_pylist()):
+                np.add.at(total, (own[at][text], feature), 1)
+        label, at = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"label": label, "feature": at, "n": total[label, at]})
+
+    got = d.where(~held).select("source", "text").mapInArrow(count, "label bigint, feature bigint, n bigint").groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas()
+    have = sorted(set(got["label"]))
+    known = [labels[i] for i in have]
     if not known:
         return Classifier(labels, np.zeros((len(labels), FEATURES)), np.ones(len(labels)))
     counts = np.zeros((len(known), FEATURES + 1))
-    counts[got["source"].map({x: i for i, x in enumerate(known)}).to_numpy(np.int64), got["feature"].to_numpy(np.int64)] = got["n"]
+    counts[np.searchsorted(have, got["label"]), got["feature"].to_numpy(np.int64)] = got["n"]
     model = Classifier(known, counts[:, :FEATURES], counts[:, FEATURES])
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
-    def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, cache, sums = shared.value, _word_features(), np.zeros(len(TEMPERATURES))
+    def loss(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, words, sums = shared.value, Words(), np.zeros(len(TEMPERATURES))
         for b in batches:
-            b = b[b["source"].isin(m.labels)]
+            b = b.filter(pc.is_in(b.column("source"), pa.array(m.labels)))
             if not len(b):
                 continue
-            e, own = m.evidence(list(b["text"]), cache), np.array([m.labels.index(x) for x in b["source"]])
+            e, own = m.evidence(b.column("text").to_pylist(), words)[0], np.array([m.labels.index(x) for x in b.column("source").to_pylist()])
             for i, temperature in enumerate(TEMPERATURES):
                 x = m.prior + e / temperature
                 top = x.max(axis=1)
                 sums[i] += (np.log(np.exp(x - top[:, None]).sum(axis=1)) + top - x[np.arange(len(x)), own]).sum()
-        yield pd.DataFrame({"t": TEMPERATURES, "loss": sums})
+        yield pa.RecordBatch.from_pydict({"t": np.array(TEMPERATURES), "loss": sums})
 
-    sums = d.where(held).select("source", "text").mapInPandas(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
+    sums = d.where(held).select("source", "text").mapInArrow(loss, "t double, loss double").groupBy("t").agg(F.sum("loss").alias("loss")).toPandas()
     if len(sums):
         model.temperature = float(sums.sort_values(["loss", "t"])["t"].iloc[0])
     return model
@@ -185,20 +256,23 @@ def sized(documents: DataFrame, model: Classifier | None = None, labels: list[st
     shared = documents.sparkSession.sparkContext.broadcast((model, labels or []))  # labels x FEATURES numbers
     name = _shipped(documents, tokenizer)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import SparkFiles
 
-        n, cache = TokenCounter.get(SparkFiles.get(name)), _word_features()
+        words = TokenCounter.get(SparkFiles.get(name))
         m, labels = shared.value
         at = [labels.index(x) for x in m.labels] if m else []
         for b in batches:
-            p = np.zeros((len(b), len(labels)), np.float32)
+            texts, p = b.column("text").to_pylist(), np.zeros((len(b), len(labels)), np.float32)
             if m and len(b):
-                p[:, at] = m.posteriors(list(b["text"]), list(b["source"]), cache)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": [n(t) for t in b["text"]], "text_hash": [xxhash.xxh3_128_digest(t.encode()) for t in b["text"]], "p": list(p)})
+                p[:, at], tokens = m.posteriors(texts, b.column("source").to_pylist(), words)
+            else:
+                tokens = [words(t) for t in texts]
+            hashes = pa.array([xxhash.xxh3_128_digest(t.encode()) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), pa.array(tokens, pa.int64()), hashes, _lists(p)], ["doc_id", "source", "tokens", "text_hash", "p"])
 
     rows = documents.where("doc_id is not null and text is not null").select("doc_id", source_name(F.col("source")).alias("source"), "text")
-    return rows.mapInPandas(count, "doc_id bigint, source string, tokens bigint, text_hash binary, p array<float>")
+    return rows.mapInArrow(count, "doc_id bigint, source string, tokens bigint, text_hash binary, p array<float>")
 
 
 def _shipped(documents: DataFrame, tokenizer: str) -> str:
@@ -232,8 +306,16 @@ def memberships(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKEN
     return texts.where(F.col("source").isNull() | F.col("source").isin(labels)).select("doc_id", F.coalesce("source", likely).alias("source"), "tokens", "p"), t
 
 
-def _matrix(b: pd.DataFrame, k: int) -> np.ndarray:
-    return (np.concatenate(b["p"].tolist()) if len(b) else np.zeros(0)).astype(float).reshape(len(b), k)
+def _lists(p: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32) if p.size else np.zeros(len(p) + 1, np.int32), p.ravel())
+
+
+def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
+    return b.column("p").flatten().to_numpy().astype(float).reshape(len(b), k)
+
+
+def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(name).to_numpy(zero_copy_only=False).astype(float)
 
 
 class Rates:
@@ -253,23 +335,28 @@ class Rates:
     def ceiling(self):
         """A function from sources to their caps; it goes to the tasks without the tables."""
         caps = dict(zip(self.sources, self.caps))
-        return lambda source: source.map(caps).to_numpy(float)
+
+        def of(source: pa.Array) -> np.ndarray:
+            source = source.dictionary_encode()
+            return np.array([caps[x] for x in source.dictionary.to_pylist()], float)[source.indices.to_numpy()]
+
+        return of
 
     def scan(self, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Expected totals and the Gram matrix of the free texts, at these levels; without levels at the caps."""
         k, ceiling = self.k, self.ceiling
 
-        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((k + 1, k))
             for b in batches:
-                p, top, tokens = _matrix(b, k), ceiling(b["source"]), b["tokens"].to_numpy(float)
+                p, top, tokens = _matrix(b, k), ceiling(b.column("source")), _numbers(b, "tokens")
                 raw = p @ level if level is not None else top
                 sums[0] += (tokens * np.clip(raw, 0, top)) @ p
                 free = p[(raw > 0) & (raw < top)]
                 sums[1:] += (free * tokens[(raw > 0) & (raw < top), None]).T @ free
-            yield pd.DataFrame({"i": np.repeat(range(k + 1), k), "j": np.tile(range(k), k + 1), "s": sums.ravel()})
+            yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(k + 1, dtype=np.int32), k), "j": np.tile(np.arange(k, dtype=np.int32), k + 1), "s": sums.ravel()})
 
-        got = self.members.mapInPandas(add, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+        got = self.members.select("source", "tokens", "p").mapInArrow(add, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
         out = np.zeros((k + 1, k))
         out[got["i"].to_numpy(np.int64), got["j"].to_numpy(np.int64)] = got["s"]
         return out[0], out[1:]
@@ -302,12 +389,13 @@ def _rounded(members: DataFrame, rates: Rates, level: np.ndarray) -> DataFrame:
     """
     k, ceiling = rates.k, rates.ceiling
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            top = ceiling(b["source"])
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "tokens": b["tokens"], "rate": np.clip(_matrix(b, k) @ level, 0, top), "cap": top})
+            top = ceiling(b.column("source"))
+            rate = pa.array(np.clip(_matrix(b, k) @ level, 0, top))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("tokens"), rate, pa.array(top)], ["doc_id", "source", "tokens", "rate", "cap"])
 
-    r = members.mapInPandas(put, "doc_id bigint, source string, tokens bigint, rate double, cap double")
+    r = members.mapInArrow(put, "doc_id bigint, source string, tokens bigint, rate double, cap double")
     r = r.withColumn("whole", F.floor(F.col("rate") + 1e-9)).withColumn("part", F.greatest(F.col("rate") - F.col("whole"), F.lit(0.0)))
     # by size first, so that what is passed over is as long as what is chosen
     r = r.withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.least(F.floor(F.col("tokens") / 8), F.lit(_SIZES)) * _SLICES + F.pmod("h", F.lit(_SLICES)))

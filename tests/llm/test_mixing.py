@@ -1,6 +1,7 @@
 import base64
 import random
 
+import numpy as np
 import pytest
 
 from codeloom.llm import mixing as M
@@ -63,3 +64,25 @@ def test_empty_tables(spark):
     assert M.mix(docs.limit(0), targets)[0].count() == 0
     assert M.mix(docs, targets.limit(0))[0].count() == 0
     assert [tuple(r)[:2] for r in M.shares(docs.limit(0), targets).collect()] == [("a", 1.0)]
+
+
+def test_words_are_worked_out_together(monkeypatch):
+    plain = M.TokenCounter(M.TOKENIZER).encode
+    rnd = random.Random(3)
+    bits = ["word", "it's", "'s", " ", "  ", "\n", "\t", "12", "a.b", "_x", "\r\n", "\x1c", "　", "\xa0", "Σ", "İ", "²", " "]
+    texts = ["", " ", "\n\n", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 30))) for _ in range(1000))]
+    model = M.Classifier(["a", "b"], np.random.default_rng(1).integers(0, 9, (2, M.FEATURES)), np.full(2, 9.0))
+    words, calls = M.TokenCounter(M.TOKENIZER), []
+    words.encode = lambda t: calls.append(t) or plain(t)
+    p, tokens = model.posteriors(texts, [None] * len(texts), words)
+    assert list(tokens) == [len(plain(t)) for t in texts]
+    assert len(calls) < len(texts) / 2  # new words of many texts go to the tokenizer at once
+    for t, row in zip(texts, p):
+        has = list({M.zlib.crc32(w.encode()) % M.FEATURES for x in t.split() for w in M._WORDS.findall(x.lower())})
+        s = model.prior + model.off + model.on[has].sum(axis=0)
+        assert row == pytest.approx(np.exp(s - s.max()) / np.exp(s - s.max()).sum(), abs=1e-9)
+    # a vocabulary that begins anew, and short stretches, change nothing
+    monkeypatch.setattr(M, "_CACHE", 20)
+    monkeypatch.setattr(M, "_CHARS", 100)
+    again, counted = model.posteriors(texts, [None] * len(texts), M.TokenCounter(M.TOKENIZER))
+    assert (counted == tokens).all() and np.allclose(again, p, atol=1e-12)
