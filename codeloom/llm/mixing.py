@@ -38,6 +38,8 @@ LABEL_TRUST = 0.999
 TEMPERATURES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0)
 #: rounding is done again with corrected targets, at most so often, until no share is off by more than CLOSE of itself
 CORRECTIONS, CLOSE = 3, 0.005
+#: memberships in a block of texts, blocks that a task of the fit reads about, and blocks that it adds up at a time
+_BLOCK, _BLOCKS, _AT_ONCE = 512, 4096, 64
 _SIZES = 1023
 _SLICES = 64
 # fixed value: the published pre-tokenisation pattern of the vocabulary
@@ -314,8 +316,8 @@ def _matrix(b: pa.RecordBatch, k: int) -> np.ndarray:
     return b.column("p").flatten().to_numpy().astype(float).reshape(len(b), k)
 
 
-def _numbers(b: pa.RecordBatch, name: str) -> np.ndarray:
-    return b.column(name).to_numpy(zero_copy_only=False).astype(float)
+def _joined(b: pa.RecordBatch, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(name).to_pylist()), kind).astype(float)
 
 
 class Rates:
@@ -326,10 +328,24 @@ class Rates:
     all that passes between steps. A step divides the gradient by the Gram matrix of the texts strictly inside the box.
     """
 
-    def __init__(self, members: DataFrame, t: pd.DataFrame):
-        self.members, self.k = members, len(t)
+    def __init__(self, members: DataFrame, t: pd.DataFrame, kept: Scratch):
+        self.k = len(t)
         self.sources, self.caps = list(t["source"]), t["cap"].to_numpy(float)
         self.share = t["share"].to_numpy(float)
+        if self.k:
+            blocks = kept.put(self._packed(members), "blocks")
+            self.blocks = blocks.coalesce(math.ceil(blocks.count() / _BLOCKS) or 1)
+
+    def _packed(self, members: DataFrame) -> DataFrame:
+        """The texts in blocks, a row each: what a scan needs of them, as bytes. Every scan reads all of them, and rows and tasks cost more than the sums."""
+        k, ceiling, per = self.k, self.ceiling, max(1, _BLOCK // self.k)
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                parts = {"tokens": b.column("tokens").to_numpy(), "top": ceiling(b.column("source")), "p": b.column("p").flatten().to_numpy().reshape(len(b), k)}
+                yield pa.RecordBatch.from_pydict({c: pa.array([x[i : i + per].tobytes() for i in range(0, len(b), per)], pa.binary()) for c, x in parts.items()})
+
+        return members.select("source", "tokens", "p").mapInArrow(pack, "tokens binary, top binary, p binary")
 
     @property
     def ceiling(self):
@@ -344,19 +360,20 @@ class Rates:
 
     def scan(self, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Expected totals and the Gram matrix of the free texts, at these levels; without levels at the caps."""
-        k, ceiling = self.k, self.ceiling
+        k = self.k
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((k + 1, k))
-            for b in batches:
-                p, top, tokens = _matrix(b, k), ceiling(b.column("source")), _numbers(b, "tokens")
+            for b in (b.slice(i, _AT_ONCE) for b in batches for i in range(0, len(b), _AT_ONCE)):
+                p, top, tokens = _joined(b, "p", np.float32).reshape(-1, k), _joined(b, "top", np.float64), _joined(b, "tokens", np.int64)
                 raw = p @ level if level is not None else top
                 sums[0] += (tokens * np.clip(raw, 0, top)) @ p
-                free = p[(raw > 0) & (raw < top)]
-                sums[1:] += (free * tokens[(raw > 0) & (raw < top), None]).T @ free
+                inside = (raw > 0) & (raw < top)
+                free = p[inside]
+                sums[1:] += (free * tokens[inside, None]).T @ free
             yield pa.RecordBatch.from_pydict({"i": np.repeat(np.arange(k + 1, dtype=np.int32), k), "j": np.tile(np.arange(k, dtype=np.int32), k + 1), "s": sums.ravel()})
 
-        got = self.members.select("source", "tokens", "p").mapInArrow(add, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
+        got = self.blocks.mapInArrow(add, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
         out = np.zeros((k + 1, k))
         out[got["i"].to_numpy(np.int64), got["j"].to_numpy(np.int64)] = got["s"]
         return out[0], out[1:]
@@ -417,7 +434,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
     kept = Scratch(documents.sparkSession, "mixing")
     members, t = memberships(documents, targets, tokenizer)
     members = kept.put(members, "members")
-    rates = Rates(members, t)
+    rates = Rates(members, t, kept)
     if not rates.k:
         return members.select("doc_id", "source", "tokens", F.lit(0).alias("repeats")), t.assign(aim=[], residual=[])
     most, _ = rates.scan(None)
@@ -443,7 +460,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: float | None = N
             break
         wanted = np.clip(wanted + np.where(live, aim - reached, 0.0), 0, np.where(live, most, 0.0))
         level, _ = rates.solve(wanted, level, 4)
-    kept.drop("members")
+    kept.drop("members", "blocks")
     return best[2], t.assign(aim=aim, residual=residual)
 
 

@@ -86,3 +86,26 @@ def test_words_are_worked_out_together(monkeypatch):
     monkeypatch.setattr(M, "_CHARS", 100)
     again, counted = model.posteriors(texts, [None] * len(texts), M.TokenCounter(M.TOKENIZER))
     assert (counted == tokens).all() and np.allclose(again, p, atol=1e-12)
+
+
+def test_a_scan_adds_up_all_texts_whatever_the_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    p, tokens = rng.dirichlet([1, 1, 1], 500).astype(np.float32), rng.integers(0, 90, 500)
+    own = rng.integers(0, 3, 500)
+    rows = [(i, "abc"[own[i]], int(tokens[i]), [float(x) for x in p[i]]) for i in range(500)]
+    members = spark.createDataFrame(rows, "doc_id bigint, source string, tokens bigint, p array<float>").repartition(4)
+    t = M.pd.DataFrame({"source": list("abc"), "share": [0.2, 0.3, 0.5], "cap": [2.0, 1.0, 0.5]})
+    level, top = np.array([0.5, 0.9, 1.4]), np.array([2.0, 1.0, 0.5])[own]
+    raw = p @ level
+    free = (raw > 0) & (raw < top)
+    for block, blocks in ((M._BLOCK, M._BLOCKS), (20, 30), (1, 1)):
+        monkeypatch.setattr(M, "_BLOCK", block)
+        monkeypatch.setattr(M, "_BLOCKS", blocks)
+        rates = M.Rates(members, t, M.Scratch(spark, "test"))
+        totals, gram = rates.scan(level)
+        assert totals == pytest.approx((tokens * np.clip(raw, 0, top)) @ p, rel=1e-5)
+        assert gram == pytest.approx((p[free] * tokens[free, None]).T @ p[free], rel=1e-5)
+        assert rates.scan(None)[0] == pytest.approx((tokens * top) @ p, rel=1e-5)
+    # few texts are one task: a task costs more than the sums
+    monkeypatch.undo()
+    assert M.Rates(members, t, M.Scratch(spark, "test")).blocks.rdd.getNumPartitions() == 1
